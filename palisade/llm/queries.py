@@ -55,9 +55,19 @@ def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *[count(r.kind) for r in RULES if r.base], F.sha2(line(base).cast("binary"), 256).alias("base_sha256"), line(F.col("findings")).alias("spans"))
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import fit, held_out, score_toxicity
+
+    docs = _documents(spark, sf_dir)
+    model = fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    scored = score_toxicity(docs.select("doc_id", "text", held_out(docs).alias("held_out")), model)
+    return scored.select("doc_id", "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 QUERIES = {
     "op2_exact_dedup": op2_exact_dedup,
     "op5_sharding": op5_sharding,
     "op6_packing": op6_packing,
     "op7_secret_scan": op7_secret_scan,
+    "op9_toxicity": op9_toxicity,
 }
