@@ -23,6 +23,16 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(_documents(spark, sf_dir))
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .common import fold_of
+    from .quality import fit, score_quality
+
+    docs = _documents(spark, sf_dir)
+    machine = fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    scored = score_quality(docs.select("doc_id", "text", (fold_of(docs["doc_id"], 3) == 1).alias("held_out")), machine)
+    return scored.select("doc_id", "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .sharding import shard_rows
 
@@ -66,6 +76,7 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op2_exact_dedup": op2_exact_dedup,
+    "op3_quality": op3_quality,
     "op5_sharding": op5_sharding,
     "op6_packing": op6_packing,
     "op7_secret_scan": op7_secret_scan,
