@@ -60,7 +60,7 @@ class Features:
         if len(self.bucket) > self.most:
             self.bucket.clear()
         known = self.bucket
-        for w in lower - known.keys():
+        for w in [w for w in lower if w not in known]:
             known[w] = zlib.crc32(w.encode("utf-8", "replace")) % BUCKETS
         buckets = np.unique(np.fromiter(map(known.__getitem__, lower), np.int64, len(lower)))
         raw = np.bincount(np.frombuffer(text.encode("utf-8", "replace"), np.uint8), minlength=256)
