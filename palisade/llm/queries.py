@@ -71,6 +71,12 @@ def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *[count(r.kind) for r in RULES if r.base], F.sha2(line(base).cast("binary"), 256).alias("base_sha256"), line(F.col("findings")).alias("spans"))
 
 
+def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .decontaminate import contaminated
+
+    return contaminated(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .toxicity import fit, held_out, score_toxicity
 
@@ -87,5 +93,6 @@ QUERIES = {
     "op5_sharding": op5_sharding,
     "op6_packing": op6_packing,
     "op7_secret_scan": op7_secret_scan,
+    "op8_decontaminate": op8_decontaminate,
     "op9_toxicity": op9_toxicity,
 }
