@@ -15,16 +15,9 @@ def with_views(spark: SparkSession, sf_dir: str, sql: str, **extra: DataFrame) -
     """Run ``sql`` over the tables of ``sf_dir`` that it names, and over ``extra``."""
     import re
 
-    names = {t for t in TABLES if re.search(rf"\b{t}\b", sql)}
-    frames = {t: table(spark, sf_dir, t) for t in names} | extra
-    for name in frames:
-        sql = re.sub(rf"(?i)\b(FROM|JOIN)(\s+){name}\b", rf"\1\2{{{name}}}", sql)
-    return spark.sql(_braces(sql, frames), **frames) if frames else spark.sql(sql)
-
-
-def _braces(sql: str, frames: dict) -> str:
-    """Braces of regular expressions are text to the formatter."""
-    out = sql.replace("{", "{{").replace("}", "}}")
-    for name in frames:
-        out = out.replace(f"{{{{{name}}}}}", f"{{{name}}}")
-    return out
+    names = {t for t in TABLES if t not in extra and re.search(rf"(?i)\b(FROM|JOIN)\s+{t}\b", sql)}
+    frames = {t: table(spark, sf_dir, t) for t in sorted(names)} | extra
+    if not frames:
+        return spark.sql(sql)
+    named = ", ".join(f"{name} AS (SELECT * FROM {{{name}}})" for name in frames)
+    return spark.sql(f"WITH {named} {sql.replace('{', '{{').replace('}', '}}')}", **frames)
