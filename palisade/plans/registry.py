@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("queries_checks", "queries_spans", "queries_stages")
+MODULES = ("queries_checks", "queries_spans", "queries_stages", "queries_reports")
 
 
 def _all(attribute: str) -> dict:

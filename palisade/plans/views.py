@@ -20,4 +20,7 @@ def with_views(spark: SparkSession, sf_dir: str, sql: str, **extra: DataFrame) -
     if not frames:
         return spark.sql(sql)
     named = ", ".join(f"{name} AS (SELECT * FROM {{{name}}})" for name in frames)
+    own = sql[5:] if sql.startswith("WITH ") else None
+    if own is not None:
+        return spark.sql(f"WITH {named}, {own.replace('{', '{{').replace('}', '}}')}", **frames)
     return spark.sql(f"WITH {named} {sql.replace('{', '{{').replace('}', '}}')}", **frames)
