@@ -20,8 +20,11 @@ def shared_dir(spark: SparkSession) -> str:
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
         found = spark.sparkContext._jsc.sc().getCheckpointDir()
-        path = found.get() if found.isDefined() else "file://" + tempfile.mkdtemp(prefix="palisade-")
-        spark.conf.set("spark.checkpoint.dir", path)
+        if found.isDefined():
+            path = found.get()
+        else:
+            path = "file://" + tempfile.mkdtemp(prefix="palisade-")
+            spark.sparkContext.setCheckpointDir(path)
     return path.rstrip("/")
 
 

@@ -10,9 +10,12 @@ when the exact similarity of their multisets reaches the threshold. Classes are
 No group is expanded into all its pairs:
  1. texts with the same words are collapsed to one representative;
  2. in each bucket every member is held against the bucket's least member, and members that are linked so far become one component;
- 3. the same with another leader per band, chosen by a hash;
- 4. what is left are buckets that hold several components: members outside a bucket's largest component are held against the bucket's
-    members in other components, which makes the result that of all pairs of candidates.
+ 3. in buckets that hold several components, every member is held against the most central member: the one with the largest share of runs
+    that other members have too;
+ 4. what is left are strays outside a bucket's largest component. Two texts have at most those runs in common that each shares with
+    anyone, which bounds their similarity; strays whose bound is below the threshold have no link at all, and the others are held against
+    those members of other components for which the bound allows one. That makes the result that of all pairs of candidates.
+Which runs are shared is kept in a table of counters of fixed size, in which two runs may meet; that loosens the bound and loses nothing.
 
 Null and empty texts, and those without words, are never linked: each is its own class. Rows that repeat an id with the same words are
 copies of it. Extra columns are not read.
@@ -202,6 +205,67 @@ def _open(members: DataFrame, label: DataFrame) -> DataFrame:
     return materialise(named.join(materialise(several, "near-open"), "key"), "near-open")
 
 
+#: Counters of runs, and segments in which tasks send theirs.
+COUNTERS, SEGMENTS = 1 << 24, 64
+
+
+def _place(values):
+    import numpy as np
+
+    return (values >> np.uint64(40)).astype(np.int64) & (COUNTERS - 1)
+
+
+def shared_runs(bags: DataFrame) -> DataFrame:
+    """(rep, total, common): how many of a text's runs some other text of ``bags`` may have too.
+
+    Each task counts texts in a table of fixed size, tasks send it in segments, and the sums (one bit a counter, 2 MB in all) go to every task.
+    """
+    part = COUNTERS // SEGMENTS
+
+    def count(batches: Iterator) -> Iterator:
+        import numpy as np
+        import pyarrow as pa
+
+        seen, some = np.zeros(COUNTERS, np.uint8), False
+        for batch in batches:
+            for bag in batch.column("bag").to_pylist():
+                at = np.unique(_place(np.frombuffer(bag, np.uint64, len(bag) // 12)))
+                seen[at] = np.minimum(seen[at] + 1, 2)
+                some = True
+        for i in range(SEGMENTS if some else 0):
+            cut = seen[i * part : (i + 1) * part]
+            if cut.any():
+                yield pa.record_batch([pa.array([i]), pa.array([pa.compress(cut.tobytes(), "zstd", asbytes=True)], pa.binary())], names=["segment", "counts"])
+
+    def add(key, table):
+        import numpy as np
+        import pyarrow as pa
+
+        total = np.zeros(part, np.uint8)
+        for x in table.column("counts"):
+            total = np.minimum(total + np.frombuffer(pa.decompress(x.as_py(), part, "zstd", asbytes=True), np.uint8), 2)
+        return pa.table({"segment": pa.array([key[0].as_py()]), "bits": pa.array([np.packbits(total > 1).tobytes()], pa.binary())})
+
+    rows = bags.select("bag").mapInArrow(count, "segment long, counts binary").groupBy("segment").applyInArrow(add, "segment long, bits binary").collect()
+    bits = {r["segment"]: bytes(r["bits"]) for r in rows}
+    table = bags.sparkSession.sparkContext.broadcast(b"".join(bits.get(i, bytes(part // 8)) for i in range(SEGMENTS)))
+
+    def share(batches: Iterator) -> Iterator:
+        import numpy as np
+        import pyarrow as pa
+
+        packed = np.frombuffer(table.value, np.uint8)
+        for batch in batches:
+            out = []
+            for bag in batch.column("bag").to_pylist():
+                k = len(bag) // 12
+                at = _place(np.frombuffer(bag, np.uint64, k))
+                out.append(int(np.frombuffer(bag, "<u4", k, 8 * k)[(packed[at >> 3] >> (7 - (at & 7))) & 1 == 1].sum()))
+            yield pa.record_batch([batch.column("rep"), batch.column("total"), pa.array(out, pa.int64())], names=["rep", "total", "common"])
+
+    return bags.select("rep", "total", "bag").mapInArrow(share, "rep long, total long, common long")
+
+
 def near_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, n: int = SHINGLE, bands: int = BANDS, band_rows: int = ROWS) -> DataFrame:
     """One row per row of ``df``: id, class_id (the least id of its class), class_size, copies (rows with the same words), kept, text_hash."""
     text = text_of(df, text_col)
@@ -211,7 +275,7 @@ def near_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", t
     reps = materialise(signed.where("words is not null").groupBy("words").agg(F.min("rid").alias("rep"), F.count(F.lit(1)).alias("copies")), "near-reps")
     stand = signed.select("rid", "hash", "bands").join(reps.select("rep"), F.col("rid") == F.col("rep"))
     spread = stand.select("rep", F.explode("bands").alias("key"))
-    buckets = spread.groupBy("key").agg(F.count(F.lit(1)).alias("members"), F.min("rep").alias("least"), F.min_by("rep", F.xxhash64("key", "rep")).alias("other"))
+    buckets = spread.groupBy("key").agg(F.count(F.lit(1)).alias("members"), F.min("rep").alias("least"))
     buckets = materialise(buckets.where("members > 1").drop("members"), "near-buckets")
     members = materialise(spread.join(buckets, "key"), "near-members")
     wanted = stand.select("rep", "hash").join(members.select("rep").distinct(), "rep", "left_semi")
@@ -221,19 +285,25 @@ def near_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", t
     tried = materialise(members.where("rep != least").select(*pair("rep", "least")).distinct(), "near-tried")
     edges = materialise(verified(tried, bags, threshold), "near-edges")
     label = components(edges)
-    # 3. Against another leader, a different one for each bucket, where the two are not in one component yet.
+    # 3. Against the most central member of buckets that hold several components.
     open_ = _open(members, label)
-    leader = _with_comp(open_, label, "other", "theirs").where("comp != theirs").select(*pair("rep", "other")).distinct()
+    shares = materialise(shared_runs(bags.join(open_.select("rep").distinct(), "rep", "left_semi")), "near-shares")
+    open_ = open_.join(shares, "rep").where(F.col("common") >= threshold * F.col("total"))
+    open_ = materialise(open_, "near-open")
+    central = materialise(open_.groupBy("key").agg(F.max_by("rep", F.col("common") / F.col("total") - F.col("rep") * 1e-18).alias("other")), "near-central")
+    leader = _with_comp(open_.join(central, "key"), label, "other", "theirs").where("comp != theirs").select(*pair("rep", "other")).distinct()
     leader = materialise(leader.join(tried, ["a", "b"], "left_anti"), "near-tried")
     edges = edges.union(materialise(verified(leader, bags, threshold), "near-edges"))
     label = components(edges)
-    # 4. Buckets that still hold several components: members outside the largest one against those of other components.
+    # 4. Strays that may still have a link, against members of other components with which the bound allows one.
     open_ = _open(open_.drop("comp"), label)
     w = Window.partitionBy("key").orderBy(F.desc("m"), "comp")
     main = open_.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("m")).withColumn("main", F.row_number().over(w) == 1)
-    strays = open_.join(main.where("not main").select("key", "comp"), ["key", "comp"]).select("key", F.col("rep").alias("x"), F.col("comp").alias("cx"))
-    rest = open_.select("key", F.col("rep").alias("y"), F.col("comp").alias("cy"))
-    left = strays.join(rest, "key").where("cx != cy").select(*pair("x", "y")).distinct()
+    strays = open_.join(materialise(main.where("not main").select("key", "comp"), "near-main"), ["key", "comp"]).select("key", F.col("rep").alias("x"), F.col("comp").alias("cx"), F.col("total").alias("nx"), F.col("common").alias("sx"))
+    rest = open_.select("key", F.col("rep").alias("y"), F.col("comp").alias("cy"), F.col("total").alias("ny"), F.col("common").alias("sy"))
+    most = F.least("sx", "sy", "nx", "ny")
+    may = (F.col("cx") != F.col("cy")) & (most >= threshold * (F.col("nx") + F.col("ny") - most))
+    left = strays.join(rest.withColumnRenamed("key", "key2"), (F.col("key") == F.col("key2")) & may).select(*pair("x", "y")).distinct()
     left = left.join(tried, ["a", "b"], "left_anti").join(leader, ["a", "b"], "left_anti")
     last = materialise(verified(left, bags, threshold), "near-edges")
     if not last.isEmpty():
