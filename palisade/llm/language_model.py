@@ -24,7 +24,7 @@ from .common import fold_of, materialise, text_of
 from .words import NOT_BLANK, in_chunks, mix, word_hashes
 
 END = 0x5851F42D4C957F2D
-BLOCK_BYTES = 24 << 20
+BLOCK_BYTES = 10 << 20
 #: Keys that one counting task holds.
 PART_KEYS = 1_500_000
 LARGEST = 5  # counts beyond this are not discounted
