@@ -2,7 +2,7 @@
 
 Texts and test items are sequences of words (lower case; letters, digits and characters beyond ASCII). The corpus is counted first: in how
 many texts does each n-gram of an item occur? Of any ``window`` n-grams in a row, an item's rarest becomes a seed, so every run of
-``n + window - 1`` unchanged words holds one, however common the passage is. A text that holds a seed is aligned with the item around it,
+``n + window - 1`` (four) unchanged words holds one, however common the passage is. A text that holds a seed is aligned with the item around it,
 word by word, and the score is the share of a perfect alignment.
 
 Items are held in blocks of bounded size, each scanned against all texts; no text is shuffled. Null and empty texts and items match
@@ -194,7 +194,7 @@ def _best(item, text, begins: list[int]) -> tuple[float, int, int]:
     return best
 
 
-def contaminated(df: DataFrame, benchmark: DataFrame, n: int = 4, window: int = 4, least: float = 0.6, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def contaminated(df: DataFrame, benchmark: DataFrame, n: int = 3, window: int = 2, least: float = 0.6, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """One row per text and test item that it holds: id, item_id, score (``least`` to 1), start_word, end_word."""
     docs = df.select(df[id_col].alias("id"), text_of(df, text_col).alias("text"))
     items = benchmark.select(benchmark[item_col].alias("item_id"), text_of(benchmark, item_text).alias("text"))
