@@ -50,13 +50,13 @@ def _family(name: str, entity: str, gate: str, context: str, rows: str) -> Famil
 PHONE_WORDS = "phone,tel,mobile,cell,fax,contact,call"
 
 FAMILIES: tuple[Family, ...] = (
-    _family("email", "EMAIL_ADDRESS", "@|(?i: at |\\[at\\])", "email,mail,contact,reach,send", r"""
+    _family("email", "EMAIL_ADDRESS", "@|(?i: at |[\\[(]at)", "email,mail,contact,reach,send", r"""
 email_plain | 0.95 | [A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}
 email_at_brackets | 0.85 | (?i)[a-z0-9._+-]+ ?[\[(]at[\])] ?[a-z0-9-]+(?: ?(?:\.|[\[(]dot[\])]) ?[a-z0-9-]+)*\.?[a-z]{2,}
 email_spaced | 0.80 | [A-Za-z0-9._+-]+ @ [A-Za-z0-9-]+\.[A-Za-z]{2,}
 email_at_word | 0.75 | (?i)\b[a-z0-9._+-]+ at [a-z0-9-]+ dot (?:com|org|net|edu|gov|io)\b
 """),
-    _family("ip", "IP_ADDRESS", "[0-9a-fA-F]*(?:\\.[0-9]|:[0-9a-fA-F:])", "ip,ip address,ipv4,ipv6,server,host", rf"""
+    _family("ip", "IP_ADDRESS", "[.][0-9]|:[0-9a-fA-F:]", "ip,ip address,ipv4,ipv6,server,host", rf"""
 ipv4_standard | 0.90 | \b{OCT}(?:\.{OCT}){{3}}\b
 ipv4_with_port | 0.95 | \b{OCT}(?:\.{OCT}){{3}}:[0-9]{{2,5}}\b
 ipv6_full | 0.95 | \b(?:{HEX}{{1,4}}:){{7}}{HEX}{{1,4}}\b
@@ -177,7 +177,7 @@ aws_access_key | 0.80 | \bAKIA[0-9A-Z]{16}\b
     _family("stripe", "STRIPE_KEY", "sk_live_", "stripe,secret,api,key", r"""
 stripe_secret | 0.90 | \bsk_live_[0-9a-zA-Z]{16,}
 """),
-    _family("url", "URL", "\\.[A-Za-z]{2}", "url,website,webpage,link,site,http", r"""
+    _family("url", "URL", "[.][A-Za-z]{2}|://", "url,website,webpage,link,site,http", r"""
 url_http_https | 0.95 | (?i)\bhttps?://[^\s<>"')]+
 url_www | 0.90 | (?i)\bwww\.[a-z0-9-]+\.[a-z]{2,}[^\s<>"')]*
 url_subdomain | 0.85 | (?i)\b[a-z0-9-]+\.[a-z0-9-]+\.(?:com|org|net|gov|edu|io)\b
@@ -221,7 +221,7 @@ gender_age_prefix | 0.85 | \b[MF][1-9][0-9]\b
 i_am_age | 0.85 | (?i)\bI(?:'m| am) [1-9][0-9]\b
 age_gender_parens | 0.85 | \([MF], ?[1-9][0-9]\)
 """),
-    _family("financial", "FINANCIAL", "[0-9]|[A-Z]{8}", "swift,bic,bank,transfer,wire,iban,amount", r"""
+    _family("financial", "FINANCIAL", "[0-9]|[A-Z]{8}|(?i:swift|bic)", "swift,bic,bank,transfer,wire,iban,amount", r"""
 currency_symbol | 0.65 | [$£€¥] ?[0-9]{1,3}(?:,?[0-9]{3})*(?:\.[0-9]{2})?
 paren_negative | 0.80 | \(\$?[0-9]{1,3}(?:,[0-9]{3})*\.[0-9]{2}\)
 routing_number | 0.85 | (?i)\brouting(?: number)?:? ?[0-9]{9}\b
@@ -260,11 +260,11 @@ the_company | 0.80 | \bThe {CAP}(?: {CAP})? (?:Group|Company|Corporation)\b
 all_caps_company | 0.75 | \b[A-Z]{{3,}}(?: [A-Z]{{2,}}){{0,2}} (?:INC|LLC|LTD|CORP)\b
 labeled_company | 0.90 | (?i)\b(?:company|employer): ?[A-Za-z][A-Za-z&. ]{{2,40}}
 """),
-    _family("gender", "GENDER", "(?i:male|binary|gender|trans|disclose)", "gender,sex,identity,identifies,pronoun,assigned", r"""
+    _family("gender", "GENDER", "(?i:male|binary|gender|prefer|intersex)", "gender,sex,identity,identifies,pronoun,assigned", r"""
 gender_identity | 0.75 | (?i)\b(?:male|female|non-binary|nonbinary|transgender|genderqueer|agender|cisgender|intersex)\b
 gender_prefer_not_to_disclose | 0.80 | (?i)\bprefer not to (?:say|disclose|answer)\b
 """),
-    _family("coords", "COORDINATES", "[0-9]\\.[0-9]|°", "gps,coordinates,location,latitude,longitude,lat", r"""
+    _family("coords", "COORDINATES", "[0-9][.][0-9]|°|(?i:gps)", "gps,coordinates,location,latitude,longitude,lat", r"""
 decimal_pair | 0.90 | -?[0-9]{1,2}\.[0-9]{4,}, ?-?[0-9]{1,3}\.[0-9]{4,}
 coord_pair_dms | 0.95 | [0-9]{1,3}°[0-9]{1,2}'[0-9.]{1,5}"[NS],? ?[0-9]{1,3}°[0-9]{1,2}'[0-9.]{1,5}"[EW]
 ddm_coord | 0.85 | [0-9]{1,3}°[0-9]{1,2}\.[0-9]+'[NSEW]
@@ -296,7 +296,7 @@ rural_route | 0.85 | \bR\.?R\.? ?#?[0-9]{{1,3}}\b
 care_of | 0.80 | (?i)\bc/o {CAP}
 floor_level | 0.70 | (?i)\b[0-9]{{1,2}}(?:st|nd|rd|th) floor\b
 """),
-    _family("medical", "MEDICAL", "(?i:blood|rh|[a-z]{4}|[A-Z][0-9])", "patient,diagnosis,treatment,prescription,medication,drug", r"""
+    _family("medical", "MEDICAL", "(?i:blood|rh|[a-z]{4}|[a-z][0-9]|bp|ldl|hdl|wbc|mrn)", "patient,diagnosis,treatment,prescription,medication,drug", r"""
 blood_type | 0.85 | (?i)\bblood type:? ?(?:AB|A|B|O)[+-]
 rh_factor_word | 0.80 | (?i)\brh (?:positive|negative)\b
 medication_suffix_1 | 0.80 | (?i)\b[a-z]{4,}(?:cillin|mycin|statin|prazole|olol|sartan|pril)\b
@@ -339,14 +339,14 @@ swiss_ahv | 0.90 | \b756\.[0-9]{4}\.[0-9]{4}\.[0-9]{2}\b
 curp_like_id | 0.80 | \b[A-Z]{4}[0-9]{6}[HM][A-Z]{5}[A-Z0-9][0-9]\b
 alpha_prefix_id | 0.75 | \b[A-Z][0-9]{8}\b
 """),
-    _family("passport", "PASSPORT", "[0-9]{5}", "passport,travel document,passport number,passport no", r"""
+    _family("passport", "PASSPORT", "[0-9]", "passport,travel document,passport number,passport no", r"""
 ca_passport | 0.85 | \b[A-Z]{2}[0-9]{6}\b
 extended_passport | 0.85 | \b[A-Z]{2}[0-9]{7,8}\b
 de_passport | 0.90 | \bC[0-9A-Z]{8}[0-9]\b
 fr_passport | 0.85 | \b[0-9]{2}[A-Z]{2}[0-9]{5}\b
 us_passport_new | 0.80 | \b[A-Z][0-9]{8}\b
 """),
-    _family("dl", "DRIVERS_LICENSE", "[0-9]{4}", "driver,license,licence,driving,permis", r"""
+    _family("dl", "DRIVERS_LICENSE", "[0-9]{3}", "driver,license,licence,driving,permis", r"""
 fl_dl | 0.90 | \b[A-Z][0-9]{3}-[0-9]{3}-[0-9]{2}-[0-9]{3}-[0-9]\b
 il_dl | 0.90 | \b[A-Z][0-9]{3}-[0-9]{4}-[0-9]{4}\b
 on_dl | 0.95 | \b[A-Z][0-9]{4}-[0-9]{5}-[0-9]{5}\b
@@ -382,13 +382,13 @@ uuid_standard | 0.95 | \b{HEX}{{8}}-{HEX}{{4}}-{HEX}{{4}}-{HEX}{{4}}-{HEX}{{12}}
 imei_formatted | 0.95 | \b[0-9]{{2}}-[0-9]{{6}}-[0-9]{{6}}-[0-9]\b
 imei_plain | 0.85 | \b[0-9]{{15}}\b
 """),
-    _family("biometric", "BIOMETRIC", "[0-9]{4}", "biometric,fingerprint,iris,scan,retina,face", r"""
+    _family("biometric", "BIOMETRIC", "[0-9]{4}|(?i:biometric)", "biometric,fingerprint,iris,scan,retina,face", r"""
 bio_prefix_digits | 0.95 | \bBIO-?[0-9]{4,12}\b
 biometric_prefix | 0.95 | (?i)\bbiometric[ -]?(?:id)?:? ?[a-z0-9]{6,}
 fp_scan_prefix | 0.90 | \b(?:FP|SCAN)-?[0-9]{4,12}\b
 biometric_letter_digits | 0.85 | \b[A-Z]-[0-9]{8,12}\b
 """),
-    _family("username", "USERNAME", "[a-z][0-9._-]", "username,user,login,account,profile,handle", r"""
+    _family("username", "USERNAME", "[a-z][0-9._-]|IDCARD", "username,user,login,account,profile,handle", r"""
 username_alphanum_digits | 0.65 | \b[a-z]{3,}[0-9]{2,}\b
 username_dot_separator | 0.60 | \b[a-z]{2,}\.[a-z]{2,}[0-9]{0,4}\b
 username_hyphenated | 0.58 | \b[a-z]{3,}-[a-z]{2,}[0-9]{1,4}\b
