@@ -64,7 +64,7 @@ class WordTokenizer:
     """Ids of whole texts. The parts of Latin-1 text between white space, and their words, are looked up in tables that the
     library's own model fills; any other text goes to the library whole."""
 
-    def __init__(self, path: str, most: int = 250_000):
+    def __init__(self, path: str, most: int = 100_000):
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(path)
