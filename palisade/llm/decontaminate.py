@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import text_of
-from .words import in_chunks, mix, word_hashes
+from .words import in_chunks, mix, small_batches, word_hashes
 
 MATCH, MISMATCH, GAP = 2, -1, -1
 BLOCK_BYTES = 8 << 20
@@ -121,7 +121,7 @@ def _counts(docs: DataFrame, items: Items) -> dict[int, int]:
 
         look = Lookup(items.all)
         total = np.zeros(len(look.keys), np.int64)
-        for batch in batches:
+        for batch in small_batches(batches):
             raw = [t.lower().encode("utf-8", "replace") for t in batch.column("text").to_pylist()]
             for i, j in in_chunks(raw):
                 h, bounds = word_hashes(raw[i:j])
@@ -145,7 +145,7 @@ def _aligned(docs: DataFrame, items: Items, seeds: dict, least: float, schema: T
 
         look = Lookup(np.array(list(seeds), np.uint64))
         places = [seeds[int(k)] for k in look.keys]
-        for batch in batches:
+        for batch in small_batches(batches):
             ids, out = batch.column("id").to_pylist(), []
             raw = [t.lower().encode("utf-8", "replace") for t in batch.column("text").to_pylist()]
             for i, j in in_chunks(raw):

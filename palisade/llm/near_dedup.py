@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import free_name, key_bitmap, materialise, text_of, with_hit
-from .words import in_chunks, mix, shingle_hashes, word_hashes
+from .words import in_chunks, mix, shingle_hashes, small_batches, word_hashes
 
 BANDS, ROWS, SHINGLE, THRESHOLD = 25, 5, 5, 0.8
 
@@ -105,7 +105,7 @@ def signatures(rows: DataFrame, bands: int, band_rows: int, n: int) -> DataFrame
         import numpy as np
         import pyarrow as pa
 
-        for batch in batches:
+        for batch in small_batches(batches):
             words, keys = [], []
             for h, (values, counts) in _bags(batch.column("text").to_pylist(), n):
                 if not len(values):
@@ -129,7 +129,7 @@ def multisets(rows: DataFrame, n: int) -> DataFrame:
         import numpy as np
         import pyarrow as pa
 
-        for batch in batches:
+        for batch in small_batches(batches):
             bags, totals = [], []
             for _, (values, counts) in _bags(batch.column("text").to_pylist(), n):
                 bags.append(values.tobytes() + counts.astype("<u4").tobytes())
@@ -159,11 +159,12 @@ def similarity(a: bytes, b: bytes) -> float:
 def verified(pairs: DataFrame, bags: DataFrame, threshold: float) -> DataFrame:
     """The pairs (a, b) whose similarity reaches the threshold. Totals alone rule out many before a bag is read."""
 
-    @F.pandas_udf("boolean")
-    def linked(a, b):
-        import pandas as pd
+    def linked(batches: Iterator) -> Iterator:
+        import pyarrow as pa
 
-        return pd.Series([similarity(x, y) >= threshold for x, y in zip(a, b, strict=True)], dtype=bool)
+        for batch in small_batches(batches, 200):
+            yes = [similarity(x, y) >= threshold for x, y in zip(batch.column("ba").to_pylist(), batch.column("bb").to_pylist(), strict=True)]
+            yield batch.select(["a", "b"]).filter(pa.array(yes, pa.bool_()))
 
     left = bags.select(F.col("rep").alias("a"), F.col("bag").alias("ba"))
     right = bags.select(F.col("rep").alias("b"), F.col("bag").alias("bb"))
@@ -171,7 +172,7 @@ def verified(pairs: DataFrame, bags: DataFrame, threshold: float) -> DataFrame:
     near = pairs.join(bags.select(F.col("rep").alias("a"), F.col("total").alias("ta")), "a").join(size, "b")
     near = near.where(F.least("ta", "tb") >= threshold * F.greatest("ta", "tb")).select("a", "b")
     both = near.join(right, "b").join(left, "a")
-    return both.where(linked("ba", "bb")).select("a", "b")
+    return both.select("a", "b", "ba", "bb").mapInArrow(linked, "a long, b long")
 
 
 def components(edges: DataFrame, name: str = "near-components", most_rounds: int = 60) -> DataFrame:
@@ -227,7 +228,7 @@ def shared_runs(bags: DataFrame) -> DataFrame:
         import pyarrow as pa
 
         seen, some = np.zeros(COUNTERS, np.uint8), False
-        for batch in batches:
+        for batch in small_batches(batches):
             for bag in batch.column("bag").to_pylist():
                 at = np.unique(_place(np.frombuffer(bag, np.uint64, len(bag) // 12)))
                 seen[at] = np.minimum(seen[at] + 1, 2)
@@ -255,7 +256,7 @@ def shared_runs(bags: DataFrame) -> DataFrame:
         import pyarrow as pa
 
         packed = np.frombuffer(table.value, np.uint8)
-        for batch in batches:
+        for batch in small_batches(batches):
             out = []
             for bag in batch.column("bag").to_pylist():
                 k = len(bag) // 12

@@ -45,7 +45,7 @@ SIZE = _next
 class Features:
     """Feature numbers and values of one text."""
 
-    def __init__(self, most: int = 300_000):
+    def __init__(self, most: int = 150_000):
         self.bucket: dict[str, int] = {}
         self.most = most
 

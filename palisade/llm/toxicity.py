@@ -80,7 +80,7 @@ _STOP = ".!?;\n"
 class Grammar:
     """Reads texts and gives their features. ``words`` and ``stems`` map insults and their beginnings to weights."""
 
-    def __init__(self, words: dict[str, float], stems: dict[str, float], most: int = 300_000):
+    def __init__(self, words: dict[str, float], stems: dict[str, float], most: int = 100_000):
         self.words, self.stems = {w: 1.0 for w in INSULTS} | words, stems
         self.fixed = {w: k for k, ws in ((THREAT, THREATS), (TARGET, TARGETS), (NEGATION, NEGATIONS), (REPORT, REPORTS)) for w in ws}
         self.table, self.means = grammar()

@@ -81,3 +81,10 @@ def in_chunks(texts: list[bytes], most: int = CHUNK):
             j += 1
         yield i, j
         i = j
+
+
+def small_batches(batches, rows: int = 500):
+    """Arrow batches cut small, so that a worker never holds the texts of a whole batch as Python strings."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
