@@ -31,13 +31,17 @@ def spans(text: str, family: Family) -> Column:
     return F.expr(f"CASE WHEN {SPARK.matches(f'`{text}`', family.gate)} THEN concat({found}) ELSE cast(array() as array<{SPAN}>) END")
 
 
-def detect(df: DataFrame, families: tuple[str, ...] | None = None, catalog: Catalog | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per match: doc_id, family, entity_type, pattern, score, s, e, value, before, after. Null text matches nothing."""
+def detect(df: DataFrame, families: tuple[str, ...] | None = None, catalog: Catalog | None = None, id_col: str = "doc_id", text_col: str = "text", carry: dict[str, str] | None = None) -> DataFrame:
+    """One row per match: doc_id, family, entity_type, pattern, score, s, e, value, before, after. Null text matches nothing.
+
+    ``carry`` adds columns that are expressions over ``text``; they are taken where the text is read, so no later pass joins it back.
+    """
     catalog = catalog or Catalog()
     chosen = [f for f in catalog.families if families is None or f.name in families]
     base = df.select(df[id_col].alias("doc_id"), df[text_col].alias("text")).where("text is not null")
     if len(chosen) == 1:  # the gate as a filter, before anything is built
         base = base.where(F.expr(SPARK.matches("text", chosen[0].gate)))
     found = base.select("doc_id", "text", F.explode(F.concat(*[spans("text", f) for f in chosen])).alias("x"))
-    around = (f"substring(text, greatest(x.s - {BEFORE}, 0) + 1, least(x.s, {BEFORE})) AS before", f"substring(text, cast(x.e + 1 as int), {AFTER}) AS after")
-    return found.selectExpr("doc_id", "x.*", around[0].replace("x.s - ", "cast(x.s as int) - ").replace("least(x.s,", "least(cast(x.s as int),"), around[1])
+    around = (f"substring(text, greatest(cast(x.s as int) - {BEFORE}, 0) + 1, least(cast(x.s as int), {BEFORE})) AS before", f"substring(text, cast(x.e + 1 as int), {AFTER}) AS after")
+    extra = [f"{e} AS {name}" for name, e in (carry or {}).items()]
+    return found.selectExpr("doc_id", "x.*", *around, *extra)

@@ -13,16 +13,22 @@ from .detect import detect
 PASSES = ("context_boost", "denylist", "locale_boost", "nhs_phone_conflict", "filter_all", "person_inside", "validated", "heuristic_verify", "threshold")
 
 
-def apply(name: str, det: DataFrame, corpus: DataFrame) -> DataFrame:
-    """One pass over detections; ``corpus`` (doc_id, text) is read only by passes that look at whole texts."""
-    sql = getattr(stages, name)(SPARK)
-    return run_sql(sql, det=det, corpus=corpus)
+#: Passes that read, or hand on, what ``detect`` carries of the text.
+CARRY = ("context_boost", "denylist", "locale_boost", "nhs_phone_conflict", "filter_all", "validated")
+
+
+def apply(name: str, det: DataFrame, corpus: DataFrame | None = None) -> DataFrame:
+    """One pass over detections. ``corpus`` (doc_id, text) is joined by passes that look at whole texts, unless ``det`` carries what they need."""
+    make = getattr(stages, name)
+    carried = "locale" in det.columns
+    sql = make(SPARK, carried) if carried and name in CARRY else make(SPARK)
+    return run_sql(sql, det=det, **({} if corpus is None or carried else {"corpus": corpus}))
 
 
 def run_sql(sql: str, **frames: DataFrame) -> DataFrame:
     from ..plans.views import with_views
 
-    return with_views(next(iter(frames.values())).sparkSession, "", sql, **{k: v for k, v in frames.items() if k in sql})
+    return with_views(next(iter(frames.values())).sparkSession, "", sql, **frames)
 
 
 def dedup_spans(det: DataFrame) -> DataFrame:
@@ -43,13 +49,13 @@ def analyze(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", catal
     with the score after each pass (null once dropped).
     """
     corpus = df.select(df[id_col].alias("doc_id"), df[text_col].alias("text")).where("text is not null")
-    det = detect(corpus, families, catalog)
+    det = detect(corpus, families, catalog, carry={"locale": stages.locale_of(SPARK), "geo": stages.geo_of(SPARK)})
     if debug:
         out = det.select("doc_id", "entity_type", "pattern", "s", "e", "value", F.col("score").alias("found"))
         for name in PASSES:
-            det = apply(name, det, corpus)
+            det = apply(name, det)
             out = out.join(det.select("doc_id", "pattern", "s", "e", F.col("score").alias(name)), ["doc_id", "pattern", "s", "e"], "left")
         return out
     for name in PASSES:
-        det = apply(name, det, corpus)
+        det = apply(name, det)
     return dedup_spans(det)

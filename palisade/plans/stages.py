@@ -26,15 +26,15 @@ def window(d: Spark, before: int = 10, after: int = 5) -> str:
     return f"concat(' ', {d.join(d.last_n(_words(d, 'before'), before), ' ')}, ' ', {d.join(d.first_n(_words(d, 'after'), after), ' ')}, ' ')"
 
 
-def context_boost(d: Spark) -> str:
+def context_boost(d: Spark, carried: bool = False) -> str:
     """A context word within ten words before or five after adds 0.35, to 0.4 at least and 1 at most."""
     cases = " ".join(f"WHEN '{f.name}' THEN {d.matches('w', ' (?:' + '|'.join(c.lower() for c in f.context) + ') ')}" for f in FAMILIES if f.context)
     hit = f"(CASE family {cases} ELSE false END)"
-    return f"SELECT {KEY}, family, before, after, score AS base_score, {hit} AS in_context, round(CASE WHEN {hit} THEN least(cast(1 as double), greatest(score + 0.35, cast(0.4 as double))) ELSE score END, 4) AS score FROM (SELECT *, {window(d)} AS w FROM det) t"
+    return f"SELECT {KEY}, family, before, after, score AS base_score, {hit} AS in_context, round(CASE WHEN {hit} THEN least(cast(1 as double), greatest(score + 0.35, cast(0.4 as double))) ELSE score END, 4) AS score{', locale, geo' if carried else ''} FROM (SELECT *, {window(d)} AS w FROM det) t"
 
 
-def denylist(d: Spark) -> str:
-    return f"SELECT {KEY}, family, before, after, score FROM det WHERE NOT (lower(trim({d.replace('value', '^[: ]+|[: ]+$', '')})) IN {_in(DENYLIST)})"
+def denylist(d: Spark, carried: bool = False) -> str:
+    return f"SELECT {KEY}, family, before, after, score{', locale, geo' if carried else ''} FROM det WHERE NOT (lower(trim({d.replace('value', '^[: ]+|[: ]+$', '')})) IN {_in(DENYLIST)})"
 
 
 def threshold(d: Spark) -> str:
@@ -64,17 +64,26 @@ def locale_detect(d: Spark) -> str:
     return f"SELECT doc_id, {locale_of(d)} AS locale FROM corpus"
 
 
-def locale_boost(d: Spark) -> str:
+def _with_locale(d: Spark, carried: bool) -> str:
+    return "det" if carried else f"det JOIN (SELECT doc_id AS at, {locale_of(d)} AS locale FROM corpus) l ON det.doc_id = l.at"
+
+
+def geo_of(d: Spark, text: str = "text") -> str:
+    """Which side of the Atlantic a text speaks of."""
+    return f"CASE WHEN {d.matches(f'lower({text})', UK_PLACES)} THEN 'UK' WHEN {d.matches(f'lower({text})', NA_PLACES.replace('.', '[.]'))} THEN 'NA' ELSE 'unknown' END"
+
+
+def locale_boost(d: Spark, carried: bool = False) -> str:
     """Patterns that belong to the text's locale gain, mapped ones that do not lose 0.05, unmapped ones stay."""
     gain = " ".join(f"WHEN pattern = '{p}' THEN CASE WHEN locale IN {_in(ls)} THEN {b} ELSE -0.05 END" for p, (ls, b) in LOCALE_BOOSTS.items())
-    return f"SELECT {KEY}, family, before, after, locale, round(least(cast(1 as double), score + cast(CASE {gain} ELSE 0 END as double)), 4) AS score FROM det JOIN (SELECT doc_id AS at, {locale_of(d)} AS locale FROM corpus) l ON det.doc_id = l.at"
+    return f"SELECT {KEY}, family, before, after, locale, round(least(cast(1 as double), score + cast(CASE {gain} ELSE 0 END as double)), 4) AS score{', geo' if carried else ''} FROM {_with_locale(d, carried)}"
 
 
 NA_PLACES = "canada|united states|u.s.|ontario|toronto|california|texas|new york|florida"
 UK_PLACES = "united kingdom|england|scotland|wales|london|manchester|national health"
 
 
-def nhs_phone_conflict(d: Spark) -> str:
+def nhs_phone_conflict(d: Spark, carried: bool = False) -> str:
     """NHS-shaped numbers become phone numbers by area code, phone words, phone marks or North American places; UK places veto that.
 
     Area codes follow the numbering plan's rule: 2-9, 0-8, any digit, and not N11.
@@ -87,10 +96,10 @@ def nhs_phone_conflict(d: Spark) -> str:
     marks = "(length(value) - length(replace(value, '-', '')) >= 2 OR length(value) - length(replace(value, '.', '')) >= 2 OR value LIKE '%(%')"
     boost = f"greatest(CASE WHEN {code} THEN 0.15 ELSE 0 END, CASE WHEN {phone} THEN 0.10 ELSE 0 END, CASE WHEN {marks} OR geo = 'NA' THEN 0.05 ELSE 0 END)"
     turn = f"(entity_type = 'UK_NHS' AND geo <> 'UK' AND ({code} OR {phone} OR {marks} OR geo = 'NA'))"
-    geo = f"CASE WHEN {d.matches('lower(text)', UK_PLACES)} THEN 'UK' WHEN {d.matches('lower(text)', NA_PLACES.replace('.', '[.]'))} THEN 'NA' ELSE 'unknown' END"
+    source = "det" if carried else f"det JOIN (SELECT doc_id AS at, {geo_of(d)} AS geo FROM corpus) g ON det.doc_id = g.at"
     return (
-        f"SELECT doc_id, CASE WHEN turn THEN 'PHONE_NUMBER' ELSE entity_type END AS entity_type, pattern, s, e, value, family, before, after, round(CASE WHEN turn THEN least(cast(0.95 as double), score + cast(boost as double)) ELSE score END, 4) AS score "
-        f"FROM (SELECT *, {turn} AS turn, {boost} AS boost FROM det JOIN (SELECT doc_id AS at, {geo} AS geo FROM corpus) g ON det.doc_id = g.at) t"
+        f"SELECT doc_id, CASE WHEN turn THEN 'PHONE_NUMBER' ELSE entity_type END AS entity_type, pattern, s, e, value, family, before, after, round(CASE WHEN turn THEN least(cast(0.95 as double), score + cast(boost as double)) ELSE score END, 4) AS score{', locale' if carried else ''} "
+        f"FROM (SELECT *, {turn} AS turn, {boost} AS boost FROM {source}) t"
     )
 
 
@@ -138,18 +147,25 @@ def filter_type(d: Spark, entity: str) -> str:
     return f"SELECT {KEY}, score, {_verdict(filters(d)[entity])} AS verdict FROM det WHERE entity_type = '{entity}'"
 
 
-def filter_all(d: Spark) -> str:
+def filter_all(d: Spark, carried: bool = False) -> str:
     """Matches that no rule of their type drops."""
     cases = " ".join(f"WHEN '{k}' THEN {_verdict(v)}" for k, v in filters(d).items())
-    return f"SELECT {KEY}, family, before, after, score FROM det WHERE (CASE entity_type {cases} ELSE 'keep' END) = 'keep'"
+    return f"SELECT {KEY}, family, before, after, score{', locale' if carried else ''} FROM det WHERE (CASE entity_type {cases} ELSE 'keep' END) = 'keep'"
 
 
 def person_inside(d: Spark) -> str:
-    """Persons that lie inside a company, or inside a location of at least their score, go."""
-    return f"SELECT p.doc_id, p.entity_type, p.pattern, p.s, p.e, p.value, p.family, p.before, p.after, p.score FROM det p LEFT ANTI JOIN (SELECT doc_id, s, e, score, entity_type FROM det WHERE entity_type IN ('COMPANY', 'LOCATION')) o ON p.doc_id = o.doc_id AND p.entity_type = 'PERSON' AND p.s >= o.s AND p.e <= o.e AND (o.entity_type = 'COMPANY' OR o.score >= p.score)".replace("LEFT ANTI JOIN", "LEFT ANTI JOIN" if d.name == "spark" else "ANTI JOIN")
+    """Persons that lie inside a company, or inside a location of at least their score, go.
+
+    Spark gathers a text's companies and locations beside each match (one shuffle by text); the check engine joins them.
+    """
+    kept = "p.doc_id, p.entity_type, p.pattern, p.s, p.e, p.value, p.family, p.before, p.after, p.score"
+    if d.name == "spark":
+        near = "collect_list(CASE WHEN entity_type IN ('COMPANY', 'LOCATION') THEN named_struct('s', s, 'e', e, 'score', score, 'company', entity_type = 'COMPANY') END) OVER (PARTITION BY doc_id)"
+        return f"SELECT * EXCEPT (near) FROM (SELECT *, {near} AS near FROM det) p WHERE NOT (p.entity_type = 'PERSON' AND exists(p.near, o -> p.s >= o.s AND p.e <= o.e AND (o.company OR o.score >= p.score)))"
+    return f"SELECT {kept} FROM det p ANTI JOIN (SELECT doc_id, s, e, score, entity_type FROM det WHERE entity_type IN ('COMPANY', 'LOCATION')) o ON p.doc_id = o.doc_id AND p.entity_type = 'PERSON' AND p.s >= o.s AND p.e <= o.e AND (o.entity_type = 'COMPANY' OR o.score >= p.score)"
 
 
-def validated(d: Spark) -> str:
+def validated(d: Spark, carried: bool = False) -> str:
     """Check digits and number plans raise or lower the score; invalid matches under 0.3 go."""
     digits = C.digits(d, "value")
     compact = f"upper({d.replace('value', '[^A-Za-z0-9]', '')})"
@@ -157,7 +173,7 @@ def validated(d: Spark) -> str:
     country = "right(locale, 2)"
     valid = f"CASE WHEN entity_type = 'IBAN_CODE' THEN {C.iban(d, compact)} WHEN entity_type = 'PHONE_NUMBER' THEN {phone} WHEN entity_type = 'CREDIT_CARD' THEN {C.card_valid(d, digits)} WHEN entity_type = 'NATIONAL_ID' THEN {C.national_id(d, compact, country)} WHEN pattern = 'swift_bic_code' THEN {C.bic(d, compact)} ELSE true END"
     delta = "CASE WHEN entity_type IN ('IBAN_CODE', 'CREDIT_CARD') THEN CASE WHEN valid THEN 0.15 ELSE -0.3 END WHEN entity_type = 'PHONE_NUMBER' THEN CASE WHEN valid THEN 0.1 ELSE -0.15 END WHEN entity_type = 'NATIONAL_ID' THEN CASE WHEN valid THEN 0.15 ELSE -0.2 END WHEN pattern = 'swift_bic_code' THEN CASE WHEN valid THEN 0.1 ELSE -0.2 END ELSE 0 END"
-    return f"SELECT {KEY}, family, before, after, valid, score FROM (SELECT {KEY}, family, before, after, valid, round(least(cast(1 as double), greatest(cast(0 as double), score + cast({delta} as double))), 4) AS score FROM (SELECT *, {valid} AS valid FROM det JOIN (SELECT doc_id AS at, {locale_of(d)} AS locale FROM corpus) l ON det.doc_id = l.at) t) u WHERE valid OR score >= 0.3"
+    return f"SELECT {KEY}, family, before, after, valid, score FROM (SELECT {KEY}, family, before, after, valid, round(least(cast(1 as double), greatest(cast(0 as double), score + cast({delta} as double))), 4) AS score FROM (SELECT *, {valid} AS valid FROM {_with_locale(d, carried)}) t) u WHERE valid OR score >= 0.3"
 
 
 #: Values that are never personal data by themselves (fixed values).
