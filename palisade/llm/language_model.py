@@ -21,12 +21,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import fold_of, materialise, text_of
-from .words import NOT_BLANK, in_chunks, mix, word_hashes
+from .words import NOT_BLANK, in_chunks, mix, small_batches, word_hashes
 
 END = 0x5851F42D4C957F2D
-BLOCK_BYTES = 10 << 20
+BLOCK_BYTES = 8 << 20
 #: Keys that one counting task holds.
-PART_KEYS = 1_500_000
+PART_KEYS = 500_000
 LARGEST = 5  # counts beyond this are not discounted
 
 
@@ -53,6 +53,19 @@ def expand(raw: bytes, kind, delta: bool = False):
     return np.cumsum(a, dtype=kind) if delta else a
 
 
+def release() -> None:
+    """Hand freed memory back to the system: workers live on between blocks and stages, and allocators would keep it."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except OSError:  # another C library
+        return
+
+
 def _blocks(docs: DataFrame, block_bytes: int) -> DataFrame:
     """(block, ids, held, lengths, vocab, tokens): tokens are places in the block's sorted vocabulary, every text ends with the end token."""
 
@@ -76,10 +89,12 @@ def _blocks(docs: DataFrame, block_bytes: int) -> DataFrame:
             made, size = made + 1, 0
             for x in (ids, held, sizes, hashes):
                 x.clear()
+            del every, vocab, tokens
+            release()
             types = [pa.int64(), pa.list_(kind), pa.list_(pa.bool_()), pa.binary(), pa.binary(), pa.binary()]
             return pa.record_batch([pa.array(c, t) for c, t in zip(row, types, strict=True)], names=["block", "ids", "held", "lengths", "vocab", "tokens"])
 
-        for batch in batches:
+        for batch in small_batches(batches):
             kind = batch.schema.field("id").type
             who, out = batch.column("id").to_pylist(), batch.column("held").to_pylist()
             raw = batch.column("raw").to_pylist()
@@ -140,6 +155,7 @@ def _rows_of(batches: Iterator) -> Iterator[dict]:
     for batch in batches:
         for i in range(batch.num_rows):
             yield batch.slice(i, 1).to_pylist()[0]
+            release()
 
 
 def _requests(table: DataFrame, parts: tuple[int, int]) -> DataFrame:
@@ -177,6 +193,8 @@ def _counted(key, table):
     import numpy as np
     import pyarrow as pa
 
+    release()
+
     blocks = table.column("block").to_numpy()
     order = np.argsort(blocks)
     keys = [expand(table.column("keys")[int(i)].as_py(), np.uint64, True) for i in order]
