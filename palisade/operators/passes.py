@@ -20,7 +20,7 @@ CARRY = ("context_boost", "denylist", "locale_boost", "nhs_phone_conflict", "fil
 def apply(name: str, det: DataFrame, corpus: DataFrame | None = None) -> DataFrame:
     """One pass over detections. ``corpus`` (doc_id, text) is joined by passes that look at whole texts, unless ``det`` carries what they need."""
     make = getattr(stages, name)
-    carried = "locale" in det.columns
+    carried = {"locale", "geo"} <= set(det.columns)
     sql = make(SPARK, carried) if carried and name in CARRY else make(SPARK)
     return run_sql(sql, det=det, **({} if corpus is None or carried else {"corpus": corpus}))
 
@@ -49,13 +49,15 @@ def analyze(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", catal
     with the score after each pass (null once dropped).
     """
     corpus = df.select(df[id_col].alias("doc_id"), df[text_col].alias("text")).where("text is not null")
-    det = detect(corpus, families, catalog, carry={"locale": stages.locale_of(SPARK), "geo": stages.geo_of(SPARK)})
+    # Passes that look at whole texts join them: without a join between them, the optimiser would write each pass's score into the next
+    # one's conditions over and over.
+    det = detect(corpus, families, catalog)
     if debug:
         out = det.select("doc_id", "entity_type", "pattern", "s", "e", "value", F.col("score").alias("found"))
         for name in PASSES:
-            det = apply(name, det)
+            det = apply(name, det, corpus)
             out = out.join(det.select("doc_id", "pattern", "s", "e", F.col("score").alias(name)), ["doc_id", "pattern", "s", "e"], "left")
         return out
     for name in PASSES:
-        det = apply(name, det)
+        det = apply(name, det, corpus)
     return dedup_spans(det)

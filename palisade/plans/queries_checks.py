@@ -41,7 +41,7 @@ def sql_of(d: Spark) -> dict[str, str]:
         "card_issuer": f"SELECT coalesce({C.card_issuer(d, 'x')}, 'none') AS issuer, {C.card_valid(d, 'x')} AS valid, count(*) AS n FROM ({n}) GROUP BY 1, 2",
         "verhoeff": f"SELECT x AS number, {C.verhoeff(d, 'x')} AS valid FROM (SELECT x FROM ({n}) UNION ALL SELECT x FROM {_values(SPECIMENS['verhoeff'])})",
         "mod11": f"SELECT x AS number, {C.mod11(d, 'x')} AS valid FROM (SELECT x FROM ({n}) UNION ALL SELECT x FROM {_values(SPECIMENS['mod11'])})",
-        "iban_mod97": f"SELECT x AS iban, {C.mod97(d, 'x')} AS remainder, {C.iban(d, 'x')} AS valid FROM (SELECT concat('GB', right(x, 2), 'WEST', left(x, 14)) AS x FROM ({n}) WHERE length(x) >= 14 UNION ALL SELECT x FROM {_values(SPECIMENS['iban'])})",
+        "iban_mod97": f"SELECT x AS iban, coalesce({C.mod97(d, 'x')}, -1) AS remainder, {C.iban(d, 'x')} AS valid FROM (SELECT concat('GB', right(x, 2), 'WEST', left(x, 14)) AS x FROM ({n}) WHERE length(x) >= 14 UNION ALL SELECT x FROM {_values(SPECIMENS['iban'])})",
         "za_id": f"SELECT x AS number, {C.za_id(d, 'x')} AS valid, CASE WHEN {C.za_id(d, 'x')} THEN {C.za_birth_date(d, 'x', 2026)} END AS born FROM (SELECT x FROM ({n}) UNION ALL SELECT x FROM {_values(SPECIMENS['za'])})",
         "bic": f"SELECT x AS bic, {C.bic(d, 'x')} AS valid FROM {_values(SPECIMENS['bic'])}",
         "entropy": f"SELECT x AS value, {C.entropy(d, 'x')} AS bits FROM (SELECT x FROM ({n}) UNION ALL SELECT x FROM {_values(SPECIMENS['text'])})",
