@@ -13,7 +13,7 @@ No group is expanded into all its pairs:
  3. in buckets that hold several components, every member is held against the most central member: the one with the largest share of runs
     that other members have too;
  4. what is left are strays outside a bucket's largest component. Two texts have at most those runs in common that each shares with
-    anyone, which bounds their similarity; strays whose bound is below the threshold have no link at all, and the others are held against
+    anyone, summed over classes of runs, which bounds their similarity; strays whose bound is below the threshold have no link at all, and the others are held against
     those members of other components for which the bound allows one. That makes the result that of all pairs of candidates.
 Which runs are shared is kept in a table of counters of fixed size, in which two runs may meet; that loosens the bound and loses nothing.
 
@@ -206,8 +206,8 @@ def _open(members: DataFrame, label: DataFrame) -> DataFrame:
     return materialise(named.join(materialise(several, "near-open"), "key"), "near-open")
 
 
-#: Counters of runs, and segments in which tasks send theirs.
-COUNTERS, SEGMENTS = 1 << 24, 64
+#: Counters of runs, segments in which tasks send theirs, and classes that runs are dealt into by their hash.
+COUNTERS, SEGMENTS, CLASSES = 1 << 24, 64, 64
 
 
 def _place(values):
@@ -217,9 +217,9 @@ def _place(values):
 
 
 def shared_runs(bags: DataFrame) -> DataFrame:
-    """(rep, total, common): how many of a text's runs some other text of ``bags`` may have too.
+    """(rep, total, common, parts): how many of a text's runs some other text of ``bags`` may have too, and how many of these by class.
 
-    Each task counts texts in a table of fixed size, tasks send it in segments, and the sums (one bit a counter, 2 MB in all) go to every task.
+    Two texts have at most as many runs in common as the smaller of both counts, summed over classes. Each task counts texts in a table of fixed size, tasks send it in segments, and the sums (one bit a counter, 2 MB in all) go to every task.
     """
     part = COUNTERS // SEGMENTS
 
@@ -257,14 +257,19 @@ def shared_runs(bags: DataFrame) -> DataFrame:
 
         packed = np.frombuffer(table.value, np.uint8)
         for batch in small_batches(batches):
-            out = []
+            out, parts = [], []
             for bag in batch.column("bag").to_pylist():
                 k = len(bag) // 12
-                at = _place(np.frombuffer(bag, np.uint64, k))
-                out.append(int(np.frombuffer(bag, "<u4", k, 8 * k)[(packed[at >> 3] >> (7 - (at & 7))) & 1 == 1].sum()))
-            yield pa.record_batch([batch.column("rep"), batch.column("total"), pa.array(out, pa.int64())], names=["rep", "total", "common"])
+                values = np.frombuffer(bag, np.uint64, k)
+                at = _place(values)
+                also = (packed[at >> 3] >> (7 - (at & 7))) & 1 == 1
+                counts = np.frombuffer(bag, "<u4", k, 8 * k)[also]
+                out.append(int(counts.sum()))
+                parts.append(np.bincount((values[also] % np.uint64(CLASSES)).astype(np.int64), weights=counts, minlength=CLASSES).astype(np.int64))
+            cols = [batch.column("rep"), batch.column("total"), pa.array(out, pa.int64()), pa.array(parts, pa.list_(pa.int64()))]
+            yield pa.record_batch(cols, names=["rep", "total", "common", "parts"])
 
-    return bags.select("rep", "total", "bag").mapInArrow(share, "rep long, total long, common long")
+    return bags.select("rep", "total", "bag").mapInArrow(share, "rep long, total long, common long, parts array<long>")
 
 
 def near_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, n: int = SHINGLE, bands: int = BANDS, band_rows: int = ROWS) -> DataFrame:
@@ -300,10 +305,11 @@ def near_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", t
     open_ = _open(open_.drop("comp"), label)
     w = Window.partitionBy("key").orderBy(F.desc("m"), "comp")
     main = open_.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("m")).withColumn("main", F.row_number().over(w) == 1)
-    strays = open_.join(materialise(main.where("not main").select("key", "comp"), "near-main"), ["key", "comp"]).select("key", F.col("rep").alias("x"), F.col("comp").alias("cx"), F.col("total").alias("nx"), F.col("common").alias("sx"))
-    rest = open_.select("key", F.col("rep").alias("y"), F.col("comp").alias("cy"), F.col("total").alias("ny"), F.col("common").alias("sy"))
-    most = F.least("sx", "sy", "nx", "ny")
-    may = (F.col("cx") != F.col("cy")) & (most >= threshold * (F.col("nx") + F.col("ny") - most))
+    strays = open_.join(materialise(main.where("not main").select("key", "comp"), "near-main"), ["key", "comp"]).select("key", F.col("rep").alias("x"), F.col("comp").alias("cx"), F.col("total").alias("nx"), F.col("common").alias("sx"), F.col("parts").alias("px"))
+    rest = open_.select("key", F.col("rep").alias("y"), F.col("comp").alias("cy"), F.col("total").alias("ny"), F.col("common").alias("sy"), F.col("parts").alias("py"))
+    enough = lambda most: most >= threshold * (F.col("nx") + F.col("ny") - most)
+    by_class = F.aggregate(F.zip_with("px", "py", lambda x, y: F.least(x, y)), F.lit(0).cast("long"), lambda a, x: a + x)
+    may = (F.col("cx") != F.col("cy")) & enough(F.least("sx", "sy")) & enough(by_class)
     left = strays.join(rest.withColumnRenamed("key", "key2"), (F.col("key") == F.col("key2")) & may).select(*pair("x", "y")).distinct()
     left = left.join(tried, ["a", "b"], "left_anti").join(leader, ["a", "b"], "left_anti")
     last = materialise(verified(left, bags, threshold), "near-edges")
