@@ -1,8 +1,8 @@
 """Packing of tokenised documents into fixed-length sequences by shortest-pack-first over the length histogram.
 
 Documents are tokenised and end with one end id. Documents longer than a sequence are cut into full pieces and one rest. Only the histogram
-of piece lengths (at most ``seq_len`` numbers) reaches the driver, where lengths are placed longest first: each goes into the open pattern
-with the least room left that still holds it, counts of patterns being split as needed. A pattern is joined back to pieces by their rank
+of piece lengths (at most ``seq_len`` numbers) reaches the driver, where lengths are placed longest first: each goes into the shortest
+open pattern, the one with the most room left, counts of patterns being split as needed; where that one is full, a new sequence is opened. A pattern is joined back to pieces by their rank
 among all pieces of that length; ranks come from per-file counts, so no length is ever gathered in one task.
 
 Null and empty texts are the end id alone. An empty table gives an empty result. Repeated rows are packed like any others. A padding id is
@@ -123,7 +123,7 @@ def tokenised_pieces(df: DataFrame, tokenizer_path: str, seq_len: int, end_id: i
 
 
 def shortest_pack_first(histogram: dict[int, int], seq_len: int) -> list[tuple[list[int], int]]:
-    """Patterns (lengths, longest first) and their counts. Lengths are placed longest first, into the pattern with the least room that fits."""
+    """Patterns (lengths, longest first) and their counts. Lengths are placed longest first, into the open pattern with the most room."""
     import bisect
 
     open_: dict[int, dict[tuple[int, ...], int]] = {}  # room left: patterns
@@ -142,28 +142,24 @@ def shortest_pack_first(histogram: dict[int, int], seq_len: int) -> list[tuple[l
     for length in sorted((k for k, v in histogram.items() if v), reverse=True):
         left = histogram[length]
         while left:
-            i = bisect.bisect_left(rooms, length)
-            if i == len(rooms):  # nothing has room: new sequences, each with as many of this length as are left for it
-                put((length,), left, seq_len - length) if 2 * length > seq_len else None
-                if 2 * length <= seq_len:
-                    each = seq_len // length
-                    full, rest = divmod(left, each)
-                    if full:
-                        put((length,) * each, full, seq_len - each * length)
-                    if rest:
-                        put((length,) * rest, 1, seq_len - rest * length)
+            if not rooms or rooms[-1] < length:  # the shortest has no room: a new sequence, then the shortest until it is full, and so on
+                each = seq_len // length
+                full, rest = divmod(left, each)
+                if full:
+                    put((length,) * each, full, seq_len - each * length)
+                if rest:
+                    put((length,) * rest, 1, seq_len - rest * length)
                 break
-            room = rooms[i]
+            room = rooms[-1]
             pattern, count = open_[room].popitem()
             if not open_[room]:
                 del open_[room]
-                rooms.pop(i)
-            fit = min(room // length, left)  # of this length in one such sequence
-            take = min(count, left // fit)
+                rooms.pop()
+            take = min(count, left)  # one each: a sequence that has got one is no longer the shortest while others have more room
             if take < count:
                 put(pattern, count - take, room)
-            put((*pattern, *(length,) * fit), take, room - fit * length)
-            left -= take * fit
+            put((*pattern, length), take, room - length)
+            left -= take
     for group in open_.values():
         for pattern, count in group.items():
             done[pattern] = done.get(pattern, 0) + count

@@ -155,6 +155,23 @@ def test_patterns_use_the_histogram():
     assert used == hist
 
 
+def test_patterns_take_the_shortest_pack():
+    """Longest first, one piece at a time, into the sequence with the most room."""
+    assert packing.shortest_pack_first({1500: 1, 1200: 1, 500: 1}, 2048) == [([1500], 1), ([1200, 500], 1)]
+    rng = random.Random(2)
+    for most, n in ((2048, 3000), (60, 3000), (700, 400)):
+        hist = collections.Counter(min(most, int(rng.lognormvariate(4, 1.5)) + 1) for _ in range(n))
+        rooms: list[int] = []
+        for length in sorted(hist.elements(), reverse=True):
+            k = max(range(len(rooms)), key=rooms.__getitem__, default=None)
+            if k is None or rooms[k] < length:
+                rooms.append(2048 - length)
+            else:
+                rooms[k] -= length
+        patterns = packing.shortest_pack_first(hist, 2048)
+        assert sorted(2048 - sum(p) for p, count in patterns for _ in range(count)) == sorted(rooms)
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline
     import duckdb
