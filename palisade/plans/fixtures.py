@@ -16,6 +16,12 @@ CASES = (
     "VIN 1HGCM82633A004352 plate AB12 CDE", "mac 00:1A:2B:3C:4D:5E session_id=abcdef123456", "device 123e4567-e89b-12d3-a456-426614174000 imei 49-015420-323751-8", "BIO-12345678 and SCAN-0099887", "username jsmith42 and j.smith", "Dear Maria Lopez, regards", "Name: John Carter", "Dr. Alice Weber met Mr Brown",
     "Customer: Peter Parker of Berlin, Germany", "<name>Ann Lee</name> <ssn>123-45-6789</ssn> <phone>415-555-2671</phone>", '{"full_name": "Omar Diaz", "phone": "+1 415 555 2671", "id_number": "A1234567"}', "Hello {{Grace Hopper}}, your name is noted; City: Paris", "**Linus Berg** joined as team member Ada King", "secret c2VjcmV0IGVtYWlsIGpvZUBleGFtcGxlLmNvbQ== end",
     "hex 6a6f65406578616d706c652e636f6d and %6a%6f%65%40%65%78%61%6d%70%6c%65", "Straße und Wien", "", "Version 1.2.3.4 released", "Flights from Paris to New York and Tokyo", "Microsoft and Google opened in Sao Paulo",
+    "12 Elm Rd Toronto ON M5V 2T6 and Halifax, NS or a bare 97201, OR in Montana", "Unit 12 Box 34, APO AE 09012 or PSC 3 Box 12, FPO AP 96543 or USS Nimitz, FPO AP 96543", "Studio 12 in Pune, Kerala; Borbari Phase II Assam; PIN: 560001 and 781001, Assam 781001 India", "〒100-0001 or 150-0002, PLZ 10115; DHAKA in Bangladesh; postcode 2000 Sydney", "Shipping Address: 12 Oak Avenue West", "Street Address: 12 Oak Avenue", "MAILING: 12 OAK AVENUE", "10 Baker Street, London NW1 6XE",
+    "22 George Street, Sydney NSW 2000", "14 Residency Road, Bengaluru, Karnataka 560025", "Unit # 12B, ATTN: Billing Team", "HC 12 Box 3 off State Route 66 near 12 Concession 4, Lot 5, Concession 6", "123 Sideroad 10, Range Road 221, Building C4", "Austin, TX, USA", "Stratford-upon-Avon and Stoke on Trent", "Via della Spiga Milano", "Route du Lac and Rue de Rivoli 12", "Calle de la Rosa Madrid", "Shibuya-ku Saitama shi", "Suite 40, room", "12 oak hill Road, Springfield",
+    "→ 05/12/1985, 05, 2021, Jan5th 2021 and 25/12/21", "Birthday: 3/14, b. 1980, March 5th, 2021, 5th March 2021 and Mar. 5th, 2021", "Years: 42, we are 34M/31F", "fee ₹1,500.50 for BN: 123456789 RT 0001", "Beneficiary: Omar Diaz", "near 7 Eleven Market", "sex M or Other", "40°26′46″N and 40.44 N", "AB+ positive, O negative, Rh+positive with ibuprofen, acyclovir and cortisone",
+    "4-1-5-5-5-5-2-6-7 and 4 1 5 5 5 5 2 6 7 1", "12.34.56.78.90 and 12-34.56-78.90, 0123.4567890", "0044-20-7946-0958, 00-44-20 79 46, 0049 301234 5678", "01234-567890, 20-7946 0958-12, 020-79-46-0958, 012.3456789, 012 3456789", "180012345678901 and 6212 3456 7890 1234 567, 501234567890, 1234 567890 12345", "sk_test_abcdefghijklmnop and X1p83<A {R12Lw#", "MORGA 657054 SM 91234, B072RRE2I55, 01234567, A123456",
+    "12ABC345D, AB1234CD, A12345, ABC 123, AB 1234 CD, 12-34", "abcdefghij7 and sam42", "sid=abc123; Path=/, device 0123456789abcdef and 123E4567-E89B-12D3-A456-426614174000", "chase.com and wells . com and hsbc.co.uk", "219 09 9999, 219 099 9999, 219-099-9999, 219.099.9999, 2190999999, 2190-9999-1234", "123.456.789.012, 123.456.789 and 123.4567.8901.23", "AB1234567, AB12345C, ABCD1234567890, A1.B2.C3.4, GARC8 850101 1 123, GARC 850101 HM 123, ABC12345, LÉVÊQUE 12345",
+    "12FRA34AB5678CD, 12.FRA.34AB5678.1.234567.ABC, Jan-Peeters-12-A-34-5-BEL", "1-23-45-6789-012-34, 12.34.56.78.A12.3, 1 85 05 78 006 084 36, 1234 5678 9012",
 )
 
 
