@@ -6,9 +6,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.dialect import SPARK
+from ..functions.text import normalize
 from ..plans import stages
 from ..plans.catalog import Catalog
 from .detect import detect
+from .sources import dictionary_families, encoded_spans, labelled_spans
 
 PASSES = ("context_boost", "denylist", "locale_boost", "nhs_phone_conflict", "filter_all", "person_inside", "validated", "heuristic_verify", "threshold")
 
@@ -43,15 +45,20 @@ def dedup_spans(det: DataFrame) -> DataFrame:
 
 
 def analyze(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", catalog: Catalog | None = None, families: tuple[str, ...] | None = None, debug: bool = False) -> DataFrame:
-    """Texts to final detections: recognise, boost, drop, resolve, check, de-duplicate, cut off.
+    """Texts to final detections: normalise, recognise, boost, drop, resolve, check, read encoded payloads, cut off, de-duplicate.
 
-    One scan finds everything; later passes work on the matches and their surroundings. With ``debug`` the rows are the raw matches
+    One scan finds what patterns and dictionaries say, labelled fields join it; later passes work on the matches and their surroundings. What
+    is found in encoded payloads meets the cut-offs only. Offsets count in the normalised text. ``families`` keeps to those families, without
+    dictionaries, fields and payloads. With ``debug`` the rows are the raw matches
     with the score after each pass (null once dropped).
     """
-    corpus = df.select(df[id_col].alias("doc_id"), df[text_col].alias("text")).where("text is not null")
+    corpus = normalize(df.select(df[id_col].alias("doc_id"), df[text_col].alias("text")).where("text is not null"))
     # Passes that look at whole texts join them: without a join between them, the optimiser would write each pass's score into the next
     # one's conditions over and over.
-    det = detect(corpus, families, catalog)
+    catalog = catalog or Catalog()
+    det = detect(corpus, families, catalog if families else Catalog((*catalog.families, *dictionary_families())))
+    if not families:
+        det = det.unionByName(labelled_spans(corpus))
     if debug:
         out = det.select("doc_id", "entity_type", "pattern", "s", "e", "value", F.col("score").alias("found"))
         for name in PASSES:
@@ -59,5 +66,7 @@ def analyze(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", catal
             out = out.join(det.select("doc_id", "pattern", "s", "e", F.col("score").alias(name)), ["doc_id", "pattern", "s", "e"], "left")
         return out
     for name in PASSES:
+        if name == "threshold" and not families:
+            det = det.unionByName(encoded_spans(corpus, catalog), allowMissingColumns=True)
         det = apply(name, det, corpus)
     return dedup_spans(det)

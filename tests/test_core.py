@@ -97,6 +97,17 @@ def test_analyze(spark):
     assert (2, "EMAIL_ADDRESS") in out and (3, "EMAIL_ADDRESS") not in out
 
 
+def test_analyze_reads_fields_payloads_and_dictionaries(spark):
+    texts = ("<name>Ann Lee</name>", '{"full_name": "Omar Diaz"}', "secret c2VjcmV0IGVtYWlsIGpvZUBleGFtcGxlLmNvbQ== end", "%6a%6f%65%40%65%78%61%6d%70%6c%65.com %6a%6f%65%40%65%78%61%6d%70%6c%65%2e%63%6f%6d", "They met in Berlin and moved to germany", "mail jane@exa\u200bmple.com")
+    got = {}
+    for r in analyze(rows(spark, *texts)).collect():
+        got.setdefault((r["doc_id"], r["entity_type"]), []).append((r["s"], r["e"], r["value"]))
+    assert (6, 13, "Ann Lee") in got[0, "PERSON"] and (15, 24, "Omar Diaz") in got[1, "PERSON"]
+    assert (7, 47, "joe@example.com") in got[2, "EMAIL_ADDRESS"] and "joe@example.com" in [v for _, _, v in got[3, "EMAIL_ADDRESS"]]
+    assert {"Berlin", "germany"} <= {v for _, _, v in got[4, "LOCATION"]}
+    assert got[5, "EMAIL_ADDRESS"] == [(5, 21, "jane@example.com")]
+
+
 def test_mask_and_profile(spark):
     df = spark.createDataFrame([("Jane", "jane@example.com", 1), (None, "joe@example.org", 2), ("Joe", None, 3)], "name string, email string, n int")
     masked = tables.mask_columns(df, {"name": "PERSON", "email": "EMAIL_ADDRESS"}).collect()
