@@ -101,12 +101,14 @@ class Items:
         self.all = np.unique(np.concatenate(self.grams)) if self.grams else np.empty(0, np.uint64)
 
     def seeds(self, df: dict[int, int], window: int) -> dict:
-        """n-gram hash: [(item number, place in the item)]."""
+        """n-gram hash: [(item number, place in the item)]. Of neighbours the rarest that some text holds; one that none holds finds nothing."""
         out: dict[int, list[tuple[int, int]]] = {}
         for i, gs in enumerate(self.grams):
             chosen = set()
             for a in range(max(1, len(gs) - window + 1)):
-                chosen.add(min(range(a, min(a + window, len(gs))), key=lambda k: (df.get(int(gs[k]), 0), k)))
+                held = [k for k in range(a, min(a + window, len(gs))) if df.get(int(gs[k]), 0)]
+                if held:
+                    chosen.add(min(held, key=lambda k: (df[int(gs[k])], k)))
             for k in sorted(chosen):
                 out.setdefault(int(gs[k]), []).append((i, k))
         return out

@@ -114,6 +114,16 @@ def test_decontamination(spark):
     assert decontaminate.contaminated(df, bench.limit(0)).count() == 0 and decontaminate.contaminated(df.limit(0), bench).count() == 0
 
 
+def test_seeds_are_held_by_texts(spark):
+    """A copy whose unchanged runs are exactly three words is aligned; an item that no text shares a run with has no seed."""
+    item = ["w%d" % i for i in range(40)]
+    copy = ["new%d" % i if i % 4 == 3 else w for i, w in enumerate(item)]
+    df = spark.createDataFrame([(1, "before it " + " ".join(copy) + " after"), (2, "nothing of that sort")], "doc_id long, text string")
+    bench = spark.createDataFrame([(7, " ".join(item)), (8, "held by no text at all")], "item_id long, text string")
+    assert [(r["doc_id"], r["item_id"]) for r in decontaminate.contaminated(df, bench).collect()] == [(1, 7)]
+    assert decontaminate.contaminated(df.where("doc_id = 2"), bench).count() == 0
+
+
 def test_packing_round_trip(spark):
     from tokenizers import Tokenizer
 
