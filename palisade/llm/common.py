@@ -4,24 +4,30 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A bitmap block holds this many bits (the size that ``bitmap_construct_agg`` builds).
 BLOCK_BITS = 32768
+#: Rows that a Python worker gets at once, while tables are written here.
+ARROW_ROWS = 1000
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share: ``spark.checkpoint.dir``.
 
-    Only where that setting is absent (a local session, as in tests) is a temporary folder made and recorded.
+    Only where that setting is absent, in a local session, is a temporary folder made and recorded; a cluster without one is an error.
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
         found = spark.sparkContext._jsc.sc().getCheckpointDir()
         if found.isDefined():
             path = found.get()
+        elif not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         else:
             path = "file://" + tempfile.mkdtemp(prefix="palisade-")
             spark.sparkContext.setCheckpointDir(path)
@@ -32,14 +38,61 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def materialise(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
+def discard(spark: SparkSession, path: str) -> None:
+    """Delete a table that nothing reads any more, through Spark's own file systems."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def materialise(df: DataFrame, name: str, path: str | None = None, rows: int = ARROW_ROWS) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back: lineage ends here, and a lost executor costs nothing."""
     spark = df.sparkSession
     path = path or fresh_path(spark, name)
-    df.write.parquet(path)
+    with arrow_rows(spark, rows):
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def arrow_rows(spark: SparkSession, most: int = ARROW_ROWS) -> Iterator[None]:
+    """Within it, batches between the JVM and Python workers hold ``most`` rows at most, so that neither side keeps large buffers."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(min(most, int(before)) if int(before) > 0 else most))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
+def release() -> None:
+    """Hand freed memory back to the system: workers live on between tasks and stages, and allocators would keep it."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except OSError:  # another C library
+        return
+
+
+def tidy(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """``run`` over batches; when a task ends, its worker hands back what it no longer uses."""
+
+    def tidied(batches: Iterator) -> Iterator:
+        try:
+            yield from run(batches)
+        finally:
+            from .words import forget
+
+            forget()
+            release()
+
+    return tidied
+
+
 def text_of(df: DataFrame, col: str = "text") -> Column:
     """The text column; null counts as empty."""
     return F.coalesce(df[col].cast("string"), F.lit(""))

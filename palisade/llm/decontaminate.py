@@ -6,7 +6,8 @@ many texts does each n-gram of an item occur? Of any ``window`` n-grams in a row
 word by word, and the score is the share of a perfect alignment.
 
 Items are held in blocks of bounded size, each scanned against all texts; no text is shuffled. Null and empty texts and items match
-nothing. An item shorter than n words is one seed of its own. Repeated rows are reported each. Extra columns are not read.
+nothing. An item shorter than n words is one seed of its own. Repeated rows are reported each;
+of alignments with equal scores the one that begins last in the text counts. Extra columns are not read.
 """
 
 from __future__ import annotations
@@ -17,8 +18,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import text_of
-from .words import in_chunks, mix, small_batches, word_hashes
+from .common import arrow_rows, text_of, tidy
+from .words import Lookup, in_chunks, mix, small_batches, word_hashes
 
 MATCH, MISMATCH, GAP = 2, -1, -1
 BLOCK_BYTES = 8 << 20
@@ -37,28 +38,6 @@ def grams(h, n: int):
         return mix(out + np.uint64(n))
 
 
-class Lookup:
-    """Which of many hashes are among the sorted ``keys``? A table of bits answers for most."""
-
-    def __init__(self, keys):
-        import numpy as np
-
-        self.keys = np.unique(np.asarray(keys, np.uint64))
-        self.bits = np.zeros(1 << 20, bool)
-        self.bits[(self.keys & np.uint64((1 << 20) - 1)).astype(np.int64)] = True
-
-    def find(self, h):
-        """Positions in ``h`` that hold a key, and the key's number."""
-        import numpy as np
-
-        if not len(self.keys) or not len(h):
-            return np.empty(0, np.int64), np.empty(0, np.int64)
-        at = np.flatnonzero(self.bits[(h & np.uint64((1 << 20) - 1)).astype(np.int64)])
-        k = np.minimum(np.searchsorted(self.keys, h[at]), len(self.keys) - 1)
-        same = self.keys[k] == h[at]
-        return at[same], k[same]
-
-
 def smith_waterman(item, text) -> tuple[float, int, int]:
     """The best local alignment as a share of a perfect one, and where it begins and ends in ``text`` (end exclusive)."""
     import numpy as np
@@ -136,7 +115,8 @@ def _counts(docs: DataFrame, items: Items) -> dict[int, int]:
         some = np.flatnonzero(total)
         yield pa.record_batch([pa.array(look.keys[some].view(np.int64)), pa.array(total[some])], names=["gram", "n"])
 
-    rows = docs.select("text").mapInArrow(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).collect()
+    with arrow_rows(docs.sparkSession):
+        rows = docs.select("text").mapInArrow(tidy(run), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).collect()
     return {r["gram"] & (2**64 - 1): r["n"] for r in rows}
 
 
@@ -172,7 +152,7 @@ def _aligned(docs: DataFrame, items: Items, seeds: dict, least: float, schema: T
     from pyspark.sql.pandas.types import to_arrow_type
 
     kind = to_arrow_type(schema["item_id"].dataType)
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(tidy(run), schema)
 
 
 def _best(item, text, begins: list[int]) -> tuple[float, int, int]:
@@ -222,4 +202,5 @@ def decontaminate(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", *
     bad = materialise(contaminated(df, benchmark, id_col=id_col, **options).select(F.col(id_col).alias(key)).distinct(), "leaks")
     marked = with_hit(df.withColumn(key, df[id_col]), key, key_bitmap(bad, key), hit)
     alone, some = marked.where(~F.col(hit)).drop(key, hit), marked.where(F.col(hit)).drop(hit)
-    return alone.unionByName(some.join(bad.withColumnRenamed(key, "_bad"), F.col(key).eqNullSafe(F.col("_bad")), "left_anti").drop(key))
+    other = free_name(some, "_bad")
+    return alone.unionByName(some.join(bad.withColumnRenamed(key, other), F.col(key).eqNullSafe(F.col(other)), "left_anti").drop(key))

@@ -20,13 +20,15 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold_of, materialise, text_of
+from .common import arrow_rows, discard, fold_of, fresh_path, materialise, release, text_of, tidy
 from .words import NOT_BLANK, in_chunks, mix, small_batches, word_hashes
 
 END = 0x5851F42D4C957F2D
 BLOCK_BYTES = 8 << 20
 #: Keys that one counting task holds.
 PART_KEYS = 500_000
+#: Blocks that a Python worker gets at once.
+FEW = 2
 LARGEST = 5  # counts beyond this are not discounted
 
 
@@ -38,14 +40,24 @@ def squeeze(a, delta: bool = False) -> bytes:
     if delta:
         a = np.diff(a, prepend=a.dtype.type(0))
     planes = np.ascontiguousarray(a.view(np.uint8).reshape(len(a), a.itemsize).T)
-    return len(a).to_bytes(8, "little") + pa.compress(planes.tobytes(), "zstd", asbytes=True) if len(a) else bytes(8)
+    head = len(a).to_bytes(7, "little") + bytes([a.itemsize])
+    return head + pa.compress(planes.tobytes(), "zstd", asbytes=True) if len(a) else head
+
+
+def narrow(a):
+    """Whole numbers in 32 bits where all of them fit, else in 64."""
+    import numpy as np
+
+    fits = not len(a) or -(2**31) < a.min() <= a.max() < 2**31
+    return a.astype(np.int32 if fits else np.int64)
 
 
 def expand(raw: bytes, kind, delta: bool = False):
+    """The array back; whole numbers come in the width that they were stored in."""
     import numpy as np
     import pyarrow as pa
 
-    n, kind = int.from_bytes(raw[:8], "little"), np.dtype(kind)
+    n, kind = int.from_bytes(raw[:7], "little"), np.dtype(f"{np.dtype(kind).kind}{raw[7]}")
     if not n:
         return np.empty(0, kind)
     planes = np.frombuffer(pa.decompress(raw[8:], n * kind.itemsize, "zstd", asbytes=True), np.uint8)
@@ -53,19 +65,6 @@ def expand(raw: bytes, kind, delta: bool = False):
     return np.cumsum(a, dtype=kind) if delta else a
 
 
-def release() -> None:
-    """Hand freed memory back to the system: workers live on between blocks and stages, and allocators would keep it."""
-    import ctypes
-
-    import pyarrow as pa
-
-    pa.default_memory_pool().release_unused()
-    try:
-        ctypes.CDLL("libc.so.6").malloc_trim(0)
-    except OSError:  # another C library
-        return
-
-
 def _blocks(docs: DataFrame, block_bytes: int) -> DataFrame:
     """(block, ids, held, lengths, vocab, tokens): tokens are places in the block's sorted vocabulary, every text ends with the end token."""
 
@@ -111,7 +110,7 @@ def _blocks(docs: DataFrame, block_bytes: int) -> DataFrame:
             yield full()
 
     kind = docs.schema["id"].dataType.simpleString()
-    return docs.mapInArrow(run, f"block long, ids array<{kind}>, held array<boolean>, lengths binary, vocab binary, tokens binary")
+    return docs.mapInArrow(tidy(run), f"block long, ids array<{kind}>, held array<boolean>, lengths binary, vocab binary, tokens binary")
 
 
 class Block:
@@ -151,6 +150,20 @@ def _cuts(keys, parts: int):
     return [0, *np.searchsorted(keys, at).tolist(), len(keys)]
 
 
+def _ranges(keys, parts: int):
+    """(part, slice) of the parts in which the sorted ``keys`` has any: as many as there are keys at most, however many parts there are."""
+    cut = _cuts(keys, parts)
+    return [(p, slice(cut[p], cut[p + 1])) for p in range(parts) if cut[p] < cut[p + 1]]
+
+
+def _messages(rows: list[tuple], types: tuple, names: list[str], most: int = 20_000) -> Iterator:
+    """All messages of a block in few batches."""
+    import pyarrow as pa
+
+    for i in range(0, len(rows), most):
+        yield pa.record_batch([pa.array(x, t) for x, t in zip(zip(*rows[i : i + most], strict=True), types, strict=True)], names=names)
+
+
 def _rows_of(batches: Iterator) -> Iterator[dict]:
     for batch in batches:
         for i in range(batch.num_rows):
@@ -174,15 +187,13 @@ def _requests(table: DataFrame, parts: tuple[int, int]) -> DataFrame:
             keys = keys[order]
             begin = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
             pairs = np.add.reduceat(trained[order].astype(np.int64), begin)
+            rows = []
             for what, k, c in ((1, b.vocab, words), (2, keys[begin], pairs)):
-                cut = _cuts(k, parts[what - 1])
-                for p in range(parts[what - 1]):
-                    s = slice(cut[p], cut[p + 1])
-                    if cut[p] < cut[p + 1]:
-                        cols = [[what], [p], [b.id], [squeeze(k[s], True)], [squeeze(c[s].astype(np.uint32))]]
-                        yield pa.record_batch([pa.array(x, t) for x, t in zip(cols, (pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary()), strict=True)], names=["what", "part", "block", "keys", "counts"])
+                for p, s in _ranges(k, parts[what - 1]):
+                    rows.append((what, p, b.id, squeeze(k[s], True), squeeze(narrow(c[s]))))
+            yield from _messages(rows, (pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary()), ["what", "part", "block", "keys", "counts"])
 
-    return table.mapInArrow(run, "what int, part int, block long, keys binary, counts binary")
+    return table.mapInArrow(tidy(run), "what int, part int, block long, keys binary, counts binary")
 
 
 ANSWER = "what int, part int, block long, keys binary, counts binary, total long, types long, of_count array<long>"
@@ -198,7 +209,7 @@ def _counted(key, table):
     blocks = table.column("block").to_numpy()
     order = np.argsort(blocks)
     keys = [expand(table.column("keys")[int(i)].as_py(), np.uint64, True) for i in order]
-    counts = [expand(table.column("counts")[int(i)].as_py(), np.uint32) for i in order]
+    counts = [expand(table.column("counts")[int(i)].as_py(), np.int32) for i in order]
     every = np.concatenate(keys)
     place, first, inverse = np.unique(every, return_index=True, return_inverse=True)
     total = np.bincount(inverse, weights=np.concatenate(counts), minlength=len(place)).astype(np.int64)
@@ -207,9 +218,9 @@ def _counted(key, table):
     what, part, rows, at = key[0].as_py(), key[1].as_py(), [], 0
     seen = total > 0
     of_count = np.bincount(np.minimum(total, LARGEST + 2), minlength=LARGEST + 3)[: LARGEST + 2]
-    rows.append((what, part, -1, squeeze(place[seen], True), squeeze(total[seen].astype(np.uint32)), int(total.sum()), int(seen.sum()), of_count.tolist()))
+    rows.append((what, part, -1, squeeze(place[seen], True), squeeze(narrow(total[seen])), int(total.sum()), int(seen.sum()), of_count.tolist()))
     for i, k in zip(order, keys, strict=True):
-        rows.append((what, part, int(blocks[i]), None, squeeze(answer[at : at + len(k)].astype(np.int32)), None, None, None))
+        rows.append((what, part, int(blocks[i]), None, squeeze(narrow(answer[at : at + len(k)])), None, None, None))
         at += len(k)
     types = (pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.list_(pa.int64()))
     return pa.table([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=["what", "part", "block", "keys", "counts", "total", "types", "of_count"])
@@ -283,14 +294,10 @@ def _weights_asked(table: DataFrame, model: Model, parts: int) -> DataFrame:
             h, w = b.history[index[own]], b.tokens[index[own]]
             used = np.bincount(h, weights=model.d2[np.minimum(c[own], LARGEST + 1)] * c[own], minlength=len(b.vocab))
             mass = np.bincount(h, weights=model.unigram(words[w]), minlength=len(b.vocab))
-            cut = _cuts(b.vocab, parts)
-            for p in range(parts):
-                s = slice(cut[p], cut[p + 1])
-                if cut[p] < cut[p + 1]:
-                    cols = [[p], [b.id], [squeeze(b.vocab[s], True)], [squeeze(words[s])], [squeeze(used[s])], [squeeze(mass[s])]]
-                    yield pa.record_batch([pa.array(x, t) for x, t in zip(cols, (pa.int32(), pa.int64(), *[pa.binary()] * 4), strict=True)], names=["part", "block", "keys", "seen", "used", "mass"])
+            rows = [(p, b.id, squeeze(b.vocab[s], True), squeeze(narrow(words[s])), squeeze(used[s]), squeeze(mass[s])) for p, s in _ranges(b.vocab, parts)]
+            yield from _messages(rows, (pa.int32(), pa.int64(), *[pa.binary()] * 4), ["part", "block", "keys", "seen", "used", "mass"])
 
-    return table.mapInArrow(run, "part int, block long, keys binary, seen binary, used binary, mass binary")
+    return table.mapInArrow(tidy(run), "part int, block long, keys binary, seen binary, used binary, mass binary")
 
 
 def _weighed(key, table):
@@ -350,7 +357,7 @@ def _scored(table: DataFrame, model: Model, kind: str) -> DataFrame:
     from pyspark.sql.pandas.types import to_arrow_type
 
     kind_ = to_arrow_type(table.schema["ids"].dataType.elementType)
-    return table.mapInArrow(run, f"id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return table.mapInArrow(tidy(run), f"id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
 def score_texts(df: DataFrame, folds: int = 5, held_out: int = 1, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES, part_keys: int = PART_KEYS) -> DataFrame:
@@ -358,22 +365,24 @@ def score_texts(df: DataFrame, folds: int = 5, held_out: int = 1, id_col: str =
     spark = df.sparkSession
     docs = df.select(df[id_col].alias("id"), (fold_of(df[id_col], folds) == held_out).alias("held"), text_of(df, text_col).cast("binary").alias("raw"))
     size = docs.agg(F.sum(F.octet_length("raw") + 64)).first()[0] or 0
-    name = f"palisade_lm_{uuid.uuid4().hex}"
+    name, path = f"palisade_lm_{uuid.uuid4().hex}", fresh_path(spark, "lm-blocks")
     buckets = int(min(50_000, max(1, 2 * size // block_bytes)))
-    _blocks(docs, block_bytes).write.format("parquet").option("compression", "none").bucketBy(buckets, "block").saveAsTable(name)
+    with arrow_rows(spark):
+        _blocks(docs, block_bytes).write.format("parquet").option("compression", "none").option("path", path).bucketBy(buckets, "block").saveAsTable(name)
     try:
         table = spark.table(name)
         tokens = size / 6
         parts = (max(1, int(0.2 * tokens / part_keys)), max(1, int(0.8 * tokens / part_keys)))
         asked = _requests(table, parts)
-        answers = materialise(asked.groupBy("what", "part").applyInArrow(_counted, ANSWER), "lm-counts")
+        answers = materialise(asked.groupBy("what", "part").applyInArrow(_counted, ANSWER), "lm-counts", rows=FEW)
         per = answers.where("block = -1").groupBy("what").agg(F.sum("total"), F.sum("types"), *[F.sum(F.element_at("of_count", c + 1)) for c in range(LARGEST + 2)]).collect()
         model = Model({r[0]: (r[1], r[2], list(r[3:])) for r in per})
         replies = answers.where("block >= 0")
         known = _joined(_joined(table, replies.where("what = 1"), "words"), replies.where("what = 2"), "pairs")
         weights = _weights_asked(known, model, parts[0]).groupBy("part").applyInArrow(_weighed, "part int, block long, keys binary, counts binary")
-        weights = materialise(weights, "lm-weights")
+        weights = materialise(weights, "lm-weights", rows=FEW)
         result = _scored(_joined(known, weights.where("block >= 0"), "weights"), model, docs.schema["id"].dataType.simpleString())
-        return materialise(result.withColumnRenamed("id", id_col), "lm-scores")
+        return materialise(result.withColumnRenamed("id", id_col), "lm-scores", rows=FEW)
     finally:
         spark.sql(f"DROP TABLE IF EXISTS {name}")
+        discard(spark, path)

@@ -28,7 +28,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import free_name, key_bitmap, materialise, text_of, with_hit
+from .common import arrow_rows, free_name, key_bitmap, materialise, text_of, tidy, with_hit
 from .words import in_chunks, mix, shingle_hashes, small_batches, word_hashes
 
 BANDS, ROWS, SHINGLE, THRESHOLD = 25, 5, 5, 0.8
@@ -58,7 +58,8 @@ def signature(values, counts, registers: int, seed: int = 1):
             salt = np.arange(step, step + batch, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95) + np.uint64(seed)
             draw = mix(key[:, None] ^ mix(salt)[None, :])
         gap = -np.log(((draw >> np.uint64(12)).astype(np.float64) + 0.5) * 2.0**-52) / rate[:, None]
-        times = now[:, None] + np.cumsum(gap, 1)
+        gap[:, 0] += now  # one addition a point, however many are drawn at once: equal draws give equal bits
+        times = np.cumsum(gap, 1)
         more = mix(draw)
         register = (more % np.uint64(registers)).astype(np.int64)
         seen = (times < first.max()) & ((mix(more) >> np.uint64(12)).astype(np.float64) * 2.0**-52 < part[:, None])
@@ -119,7 +120,7 @@ def signatures(rows: DataFrame, bands: int, band_rows: int, n: int) -> DataFrame
             yield pa.record_batch([batch.column("rid"), batch.column("id"), batch.column("hash"), pa.array(words, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], names=["rid", "id", "hash", "words", "bands"])
 
     kind = rows.schema["id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"rid long, id {kind}, hash binary, words binary, bands array<long>")
+    return rows.mapInArrow(tidy(run), f"rid long, id {kind}, hash binary, words binary, bands array<long>")
 
 
 def multisets(rows: DataFrame, n: int) -> DataFrame:
@@ -136,7 +137,7 @@ def multisets(rows: DataFrame, n: int) -> DataFrame:
                 totals.append(int(counts.sum()))
             yield pa.record_batch([batch.column("rep"), pa.array(totals, pa.int64()), pa.array(bags, pa.binary())], names=["rep", "total", "bag"])
 
-    return rows.mapInArrow(run, "rep long, total long, bag binary")
+    return rows.mapInArrow(tidy(run), "rep long, total long, bag binary")
 
 
 def similarity(a: bytes, b: bytes) -> float:
@@ -172,17 +173,18 @@ def verified(pairs: DataFrame, bags: DataFrame, threshold: float) -> DataFrame:
     near = pairs.join(bags.select(F.col("rep").alias("a"), F.col("total").alias("ta")), "a").join(size, "b")
     near = near.where(F.least("ta", "tb") >= threshold * F.greatest("ta", "tb")).select("a", "b")
     both = near.join(right, "b").join(left, "a")
-    return both.select("a", "b", "ba", "bb").mapInArrow(linked, "a long, b long")
+    return both.select("a", "b", "ba", "bb").mapInArrow(tidy(linked), "a long, b long")
 
 
-def components(edges: DataFrame, name: str = "near-components", most_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, name: str = "near-components") -> DataFrame:
     """(node, comp) of every node with an edge (a, b); comp is the least node it is connected to.
 
-    In each round a node takes the least label around it and then the label of that label, so chains shorten by half.
+    In each round a node takes the least label around it and then the label of that label, so chains shorten by half. Labels only sink,
+    and the rounds end when none does.
     """
     both = materialise(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), name)
     label = materialise(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("comp")), name)
-    for _ in range(most_rounds):
+    while True:
         seen = both.join(label, both["b"] == label["node"]).groupBy("a").agg(F.min("comp").alias("near"))
         moved = materialise(label.join(seen, label["node"] == seen["a"]).select("node", "comp", F.least("comp", "near").alias("next")), name)
         far = label.select(F.col("node").alias("at"), F.col("comp").alias("jump"))
@@ -191,7 +193,6 @@ def components(edges: DataFrame, name: str = "near-components", most_rounds: int
         label = after.select("node", "comp")
         if after.where("changed").isEmpty():
             return label
-    raise RuntimeError("components did not settle")
 
 
 def _with_comp(df: DataFrame, label: DataFrame, node: str, out: str) -> DataFrame:
@@ -206,37 +207,48 @@ def _open(members: DataFrame, label: DataFrame) -> DataFrame:
     return materialise(named.join(materialise(several, "near-open"), "key"), "near-open")
 
 
-#: Counters of runs, segments in which tasks send theirs, and classes that runs are dealt into by their hash.
-COUNTERS, SEGMENTS, CLASSES = 1 << 24, 64, 64
+#: Bits of the number of counters (the least and the most), segments in which tasks send theirs, and classes that runs are dealt into by their hash.
+COUNTER_BITS, SEGMENTS, CLASSES = (16, 26), 64, 64
+#: Tasks whose counters are added up in one group.
+GROUPED = 256
 
 
-def _place(values):
+def _place(values, counters: int):
     import numpy as np
 
-    return (values >> np.uint64(40)).astype(np.int64) & (COUNTERS - 1)
+    return (values >> np.uint64(36)).astype(np.int64) & (counters - 1)
 
 
 def shared_runs(bags: DataFrame) -> DataFrame:
     """(rep, total, common, parts): how many of a text's runs some other text of ``bags`` may have too, and how many of these by class.
 
-    Two texts have at most as many runs in common as the smaller of both counts, summed over classes. Each task counts texts in a table of fixed size, tasks send it in segments, and the sums (one bit a counter, 2 MB in all) go to every task.
+    Two texts have at most as many runs in common as the smaller of both counts, summed over classes. Each task counts texts in a table of counters, eight
+    for each run of ``bags`` as far as the largest table goes; tasks send it in segments that are added up in two steps, and the sums (one
+    bit a counter, 8 MB at most) go to every task.
     """
-    part = COUNTERS // SEGMENTS
+    runs = bags.agg(F.sum(F.octet_length("bag") / 12)).first()[0] or 0
+    counters = 1 << min(max(int(8 * runs).bit_length(), COUNTER_BITS[0]), COUNTER_BITS[1])
+    part = counters // SEGMENTS
+
+    import numpy as np
+    import pyarrow as pa
 
     def count(batches: Iterator) -> Iterator:
         import numpy as np
         import pyarrow as pa
+        from pyspark import TaskContext
 
-        seen, some = np.zeros(COUNTERS, np.uint8), False
+        group = TaskContext.get().partitionId() // GROUPED
+        seen, some = np.zeros(counters, np.uint8), False
         for batch in small_batches(batches):
             for bag in batch.column("bag").to_pylist():
-                at = np.unique(_place(np.frombuffer(bag, np.uint64, len(bag) // 12)))
+                at = np.unique(_place(np.frombuffer(bag, np.uint64, len(bag) // 12), counters))
                 seen[at] = np.minimum(seen[at] + 1, 2)
                 some = True
         for i in range(SEGMENTS if some else 0):
             cut = seen[i * part : (i + 1) * part]
             if cut.any():
-                yield pa.record_batch([pa.array([i]), pa.array([pa.compress(cut.tobytes(), "zstd", asbytes=True)], pa.binary())], names=["segment", "counts"])
+                yield pa.record_batch([pa.array([i]), pa.array([group], pa.int64()), pa.array([pa.compress(cut.tobytes(), "zstd", asbytes=True)], pa.binary())], names=["segment", "group", "counts"])
 
     def add(key, table):
         import numpy as np
@@ -245,10 +257,13 @@ def shared_runs(bags: DataFrame) -> DataFrame:
         total = np.zeros(part, np.uint8)
         for x in table.column("counts"):
             total = np.minimum(total + np.frombuffer(pa.decompress(x.as_py(), part, "zstd", asbytes=True), np.uint8), 2)
-        return pa.table({"segment": pa.array([key[0].as_py()]), "bits": pa.array([np.packbits(total > 1).tobytes()], pa.binary())})
+        return pa.table({"segment": pa.array([key[0].as_py()]), "group": pa.array([0], pa.int64()), "counts": pa.array([pa.compress(total.tobytes(), "zstd", asbytes=True)], pa.binary())})
 
-    rows = bags.select("bag").mapInArrow(count, "segment long, counts binary").groupBy("segment").applyInArrow(add, "segment long, bits binary").collect()
-    bits = {r["segment"]: bytes(r["bits"]) for r in rows}
+    kind = "segment long, group long, counts binary"
+    with arrow_rows(bags.sparkSession):
+        sums = bags.select("bag").mapInArrow(tidy(count), kind).groupBy("segment", "group").applyInArrow(add, kind).groupBy("segment").applyInArrow(add, kind).collect()
+    unpack = lambda x: np.packbits(np.frombuffer(pa.decompress(bytes(x), part, "zstd", asbytes=True), np.uint8) > 1).tobytes()
+    bits = {r["segment"]: unpack(r["counts"]) for r in sums}
     table = bags.sparkSession.sparkContext.broadcast(b"".join(bits.get(i, bytes(part // 8)) for i in range(SEGMENTS)))
 
     def share(batches: Iterator) -> Iterator:
@@ -261,7 +276,7 @@ def shared_runs(bags: DataFrame) -> DataFrame:
             for bag in batch.column("bag").to_pylist():
                 k = len(bag) // 12
                 values = np.frombuffer(bag, np.uint64, k)
-                at = _place(values)
+                at = _place(values, counters)
                 also = (packed[at >> 3] >> (7 - (at & 7))) & 1 == 1
                 counts = np.frombuffer(bag, "<u4", k, 8 * k)[also]
                 out.append(int(counts.sum()))
@@ -269,7 +284,7 @@ def shared_runs(bags: DataFrame) -> DataFrame:
             cols = [batch.column("rep"), batch.column("total"), pa.array(out, pa.int64()), pa.array(parts, pa.list_(pa.int64()))]
             yield pa.record_batch(cols, names=["rep", "total", "common", "parts"])
 
-    return bags.select("rep", "total", "bag").mapInArrow(share, "rep long, total long, common long, parts array<long>")
+    return bags.select("rep", "total", "bag").mapInArrow(tidy(share), "rep long, total long, common long, parts array<long>")
 
 
 def near_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, n: int = SHINGLE, bands: int = BANDS, band_rows: int = ROWS) -> DataFrame:

@@ -17,7 +17,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_of
+from .common import arrow_rows, text_of, tidy
 from .training import labelled_sample
 
 BUCKETS = 1 << 14
@@ -45,7 +45,7 @@ SIZE = _next
 class Features:
     """Feature numbers and values of one text."""
 
-    def __init__(self, most: int = 150_000):
+    def __init__(self, most: int = 50_000):
         self.bucket: dict[str, int] = {}
         self.most = most
 
@@ -139,7 +139,8 @@ def fit(df: DataFrame, labels: DataFrame, folds: int = 3, held_out: int = 1, mos
             yield pa.record_batch([batch.column("id").cast(pa.string()), pa.array(index, pa.list_(pa.int32())), batch.column("y")], names=["id", "x", "y"])
 
     sample = labelled_sample(df, labels, "quality", folds, held_out, most_rows, id_col, text_col)
-    table = sample.mapInArrow(read, "id string, x array<int>, y int").toArrow().sort_by("id")
+    with arrow_rows(df.sparkSession):
+        table = sample.mapInArrow(tidy(read), "id string, x array<int>, y int").toArrow().sort_by("id")
     y = table.column("y").to_numpy()
     if len(y) == 0 or y.min() == y.max():
         return None

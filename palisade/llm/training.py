@@ -9,14 +9,13 @@ from .common import fold_of, text_of
 
 
 def labelled_sample(df: DataFrame, labels: DataFrame, label: str, folds: int, held_out: int, most: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, text, y) of about ``most`` labelled rows at most outside the held-out fold, chosen by a hash of the id.
+    """(id, text, y) of at most ``most`` labelled ids outside the held-out fold: those with the least hashes, whatever the partitioning.
 
-    The ids and labels of the sample are at most ``most`` narrow rows, so they are broadcast and no text is shuffled.
+    The ids and labels of the sample are at most ``most`` narrow rows, so they are broadcast and no text is shuffled. Of several labels of
+    one id the largest counts.
     """
     known = labels.where(labels[label].isNotNull() & (fold_of(labels[id_col], folds) != held_out)).groupBy(F.col(id_col).alias("_id")).agg(F.max(label).cast("int").alias("y"))
-    n = known.count()
-    if n > most:
-        known = known.where(F.pmod(F.xxhash64(F.lit(5), "_id"), F.lit(1_000_000)) < int(1_000_000 * most / n)).limit(most)
+    known = known.orderBy(F.xxhash64(F.lit(5), "_id"), "_id").limit(most)
     docs = df.select(df[id_col].alias("id"), text_of(df, text_col).alias("text"))
     return docs.join(F.broadcast(known), docs["id"] == known["_id"]).select("id", "text", "y")
 

@@ -6,7 +6,7 @@ import numpy as np
 
 BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 #: Bytes that are worked on at once.
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 
 _byte = np.arange(256)
 #: Letters, digits and every byte of a non-ASCII character.
@@ -30,6 +30,12 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers
 
 
+def forget() -> None:
+    """Drop the powers; those of a very long text would stay in memory as long as the worker lives."""
+    global _powers
+    _powers = np.ones(1, np.uint64), np.ones(1, np.uint64)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit numbers that scatters close ones (the finaliser of SplitMix64)."""
     with np.errstate(over="ignore"):
@@ -38,19 +44,57 @@ def mix(x: np.ndarray) -> np.ndarray:
         return x ^ (x >> np.uint64(31))
 
 
+class Scan:
+    """The words of all texts as places in their joined bytes (``start``, ``end``), and where each text's words begin (``bounds``, one
+    more entry than texts)."""
+
+    def __init__(self, texts: list[bytes], member: np.ndarray = ALNUM):
+        raw = np.frombuffer(b" ".join(texts) + b" ", np.uint8)
+        sizes = np.fromiter(map(len, texts), np.int64, len(texts)) + 1
+        first = np.concatenate([[0], np.cumsum(sizes)])
+        edge = np.flatnonzero(np.diff(member[raw].view(np.int8), prepend=np.int8(0)))
+        self.raw, self.start, self.end = raw, edge[::2], edge[1::2]
+        self.bounds = np.searchsorted(self.start, first)
+        with np.errstate(over="ignore"):
+            up, self.down = powers(len(raw) + 1)
+            self.total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_LOWER[raw] * up[: len(raw)])])
+
+    def _hash(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            return mix((self.total[end] - self.total[start]) * self.down[start] + (end - start).astype(np.uint64))
+
+    def hashes(self) -> np.ndarray:
+        """Of whole words, A-Z taken as a-z."""
+        return self._hash(self.start, self.end)
+
+    def beginnings(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """Which words have ``n`` bytes or more, and the hashes of their first ``n``."""
+        long = np.flatnonzero(self.end - self.start >= n)
+        return long, self._hash(self.start[long], self.start[long] + n)
+
+
 def word_hashes(texts: list[bytes], member: np.ndarray = ALNUM) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the words of all texts, A-Z taken as a-z, and where each text's words begin (one more entry than texts)."""
-    raw = np.frombuffer(b" ".join(texts) + b" ", np.uint8)
-    sizes = np.fromiter(map(len, texts), np.int64, len(texts)) + 1
-    first = np.concatenate([[0], np.cumsum(sizes)])
-    inside = member[raw]
-    edge = np.flatnonzero(np.diff(inside.view(np.int8), prepend=np.int8(0)))
-    start, end = edge[::2], edge[1::2]
-    with np.errstate(over="ignore"):
-        up, down = powers(len(raw) + 1)
-        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_LOWER[raw] * up[: len(raw)])])
-        h = mix((total[end] - total[start]) * down[start] + (end - start).astype(np.uint64))
-    return h, np.searchsorted(start, first)
+    scan = Scan(texts, member)
+    return scan.hashes(), scan.bounds
+
+
+class Lookup:
+    """Which of many hashes are among the sorted ``keys``? A table of bits answers for most."""
+
+    def __init__(self, keys):
+        self.keys = np.unique(np.asarray(keys, np.uint64))
+        self.bits = np.zeros(1 << 20, bool)
+        self.bits[(self.keys & np.uint64((1 << 20) - 1)).astype(np.int64)] = True
+
+    def find(self, h):
+        """Positions in ``h`` that hold a key, and the key's number."""
+        if not len(self.keys) or not len(h):
+            return np.empty(0, np.int64), np.empty(0, np.int64)
+        at = np.flatnonzero(self.bits[(h & np.uint64((1 << 20) - 1)).astype(np.int64)])
+        k = np.minimum(np.searchsorted(self.keys, h[at]), len(self.keys) - 1)
+        same = self.keys[k] == h[at]
+        return at[same], k[same]
 
 
 def shingle_hashes(h: np.ndarray, bounds: np.ndarray, n: int = 5) -> tuple[np.ndarray, np.ndarray]:
