@@ -21,11 +21,12 @@ from functools import lru_cache
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_of
+from .common import text_of, tidy
 
 KINDS = ("email", "ip", "card", "phone")
 LABELS = ("O", *(f"{p}-{k}" for k in KINDS for p in "BI"))
-MAX_WORD = 200
+#: Longer words, and what is known of them, are not kept for later.
+KEPT_WORD = 100
 
 #: Fixed patterns of the base spans.
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -80,16 +81,19 @@ def base_spans(text: str) -> dict[str, list[tuple[int, int]]]:
 _LETTERS = re.compile(r"[^\W\d_]+")
 
 
-@lru_cache(20_000)
 def features(word: str) -> tuple[str, ...]:
-    """Names of what a word looks like."""
-    core = word[:MAX_WORD].strip(".,;:!?\"'*#$%&|<>")
+    """Names of what a word looks like, whatever its length."""
+    return _short(word) if len(word) <= KEPT_WORD else _features(word)
+
+
+def _features(word: str) -> tuple[str, ...]:
+    core = word.strip(".,;:!?\"'*#$%&|<>")
     digits = sum(c.isdigit() for c in core)
     shape = _DIGITS.sub(lambda m: f"d{len(m.group())}" if len(m.group()) < 20 else "d20", _LETTERS.sub("a", core))
     rough = re.sub(r"d\d+", "d", shape)
     return (
-        f"shape={shape[:40]}",
-        f"rough={rough[:30]}",
+        f"shape={shape}",
+        f"rough={rough}",
         f"digits={min(digits, 20)}",
         f"at={'@' in core}",
         f"dots={min(core.count('.'), 4)}",
@@ -100,11 +104,12 @@ def features(word: str) -> tuple[str, ...]:
     )
 
 
+_short = lru_cache(20_000)(_features)
+
 #: Words that announce a kind.
 CUES = {w: k for k, ws in {"email": "email e-mail mail contact courriel correo", "ip": "ip host server address adresse", "card": "card visa mastercard amex carte karte tarjeta kreditkarte", "phone": "phone tel call mobile fax cell telefon téléphone teléfono"}.items() for w in ws.split()}
 
 
-@lru_cache(20_000)
 def cue(word: str) -> str:
     return CUES.get(word.lower().strip(".,;:!?\"'*#$%&|<>()"), "")
 
@@ -247,7 +252,8 @@ class Field:
             row = self.w[known].sum(0)
             if len(self.rows) > 30_000:
                 self.rows.clear()
-            self.rows[key] = row
+            if len(key) < 10 * KEPT_WORD:
+                self.rows[key] = row
         return row
 
     def viterbi(self, runs: list) -> list[list[int]]:
@@ -304,7 +310,31 @@ def runs_of(text: str) -> list[list[tuple[int, int]]]:
 
 _TRIGGER = re.compile("[0-9@]")
 _BLANK = re.compile(r"\s")
-_WORD_BEFORE = re.compile(r"(\S{1,40})\s+$")
+
+
+def word_before(text: str, at: int) -> str:
+    """The word that ends before the blanks before ``at``."""
+    while at and text[at - 1].isspace():
+        at -= 1
+    start = at
+    while start and not text[start - 1].isspace():
+        start -= 1
+    return text[start:at]
+
+
+def touched(spans: list[tuple[int, int]]):
+    """A test whether (a, b) overlaps any of ``spans``: of those that begin before b, does one end after a?"""
+    from bisect import bisect_left
+    from itertools import accumulate
+
+    spans = sorted(spans)
+    starts, ends = [a for a, _ in spans], list(accumulate((b for _, b in spans), max))
+
+    def test(a: int, b: int) -> bool:
+        k = bisect_left(starts, b)
+        return k > 0 and ends[k - 1] > a
+
+    return test
 
 
 class Finder:
@@ -321,13 +351,15 @@ class Finder:
             found.append({k: [(a, b, True) for a, b in v] for k, v in base_spans(text).items()})
             for run in runs_of(text):
                 words = [text[a:b] for a, b in run]
-                before = _WORD_BEFORE.search(text[max(0, run[0][0] - 60) : run[0][0]])
-                context = [before.group(1) if before else "", *words]
+                context = [word_before(text, run[0][0]), *words]
                 runs.append(np.array([self.field.emission(context, j + 1) for j in range(len(words))]))
                 owners.append((i, run))
+        last, test = -1, None
         for (i, run), labels in zip(owners, self.field.viterbi(runs), strict=True):
             for kind, a, b in _spans(texts[i], run, labels):
-                if all(b <= x or y <= a for spans in found[i].values() for x, y, base in spans if base):
+                if i != last:  # the runs of a text follow each other
+                    last, test = i, touched([(x, y) for spans in found[i].values() for x, y, base in spans if base])
+                if not test(a, b):
                     found[i][kind].append((a, b, False))
         return found
 
@@ -344,7 +376,7 @@ def _spans(text: str, run: list[tuple[int, int]], labels: list[int]) -> Iterator
                 a += 1
             while a < b and not text[b - 1].isalnum():
                 b -= 1
-            if a < b and b - a <= MAX_WORD:
+            if a < b:
                 yield kind, a, b
             j = k
         else:
@@ -366,11 +398,11 @@ def find_pii(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", fiel
 
         finder = Finder(field)
         for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                part = batch.slice(at, 1000)
+            for at in range(0, batch.num_rows, 500):
+                part = batch.slice(at, 500)
                 rows = [[{"kind": k, "start": a, "end": b, "base": base} for k in KINDS for a, b, base in sorted(f[k])] for f in finder.find(part.column(1).to_pylist())]
                 yield pa.record_batch([part.column(0), pa.array(rows, pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("base", pa.bool_())])))], names=["id", "spans"])
 
     docs = df.select(df[id_col].alias("id"), text_of(df, text_col).alias("text"))
     kind = docs.schema["id"].dataType.simpleString()
-    return docs.mapInArrow(run, f"id {kind}, spans array<struct<kind: string, start: long, end: long, base: boolean>>").withColumnRenamed("id", id_col)
+    return docs.mapInArrow(tidy(run), f"id {kind}, spans array<struct<kind: string, start: long, end: long, base: boolean>>").withColumnRenamed("id", id_col)
