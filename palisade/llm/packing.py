@@ -19,20 +19,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialise, text_of
-
-PIECES = T.StructType(
-    [
-        T.StructField("doc_id", T.LongType()),
-        T.StructField("start", T.LongType()),
-        T.StructField("length", T.IntegerType()),
-        T.StructField("ids", T.BinaryType()),  # unsigned 16-bit little-endian where the vocabulary allows, else 32-bit
-        T.StructField("ids_crc32", T.LongType()),
-        T.StructField("doc_tokens", T.LongType()),
-        T.StructField("part", T.IntegerType()),
-        T.StructField("local_rank", T.LongType()),
-    ]
-)
+from .common import materialise, text_of, tidy
+
+#: What a piece holds besides its document's id; ``ids`` are unsigned 16-bit little-endian where the vocabulary allows, else 32-bit.
+PIECES = "start long, length long, ids binary, ids_crc32 long, doc_tokens long, part int, local_rank long"
+#: Rows (one for each file and length) up to which the table of ranks may be broadcast.
+BROADCAST_ROWS = 200_000
 
 #: The vocabulary's own rules, for text in Latin-1: runs of letters, single numerals, contractions, runs of other marks.
 _LETTER = "a-zªµºß-öø-ÿ"
@@ -64,7 +56,7 @@ class WordTokenizer:
     """Ids of whole texts. The parts of Latin-1 text between white space, and their words, are looked up in tables that the
     library's own model fills; any other text goes to the library whole."""
 
-    def __init__(self, path: str, most: int = 100_000):
+    def __init__(self, path: str, most: int = 60_000):
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(path)
@@ -99,13 +91,14 @@ def tokenised_pieces(df: DataFrame, tokenizer_path: str, seq_len: int, end_id: i
         import pyarrow as pa
         from pyspark import TaskContext
 
+        schema = None
         coder, part = WordTokenizer(tokenizer_path), TaskContext.get().partitionId()
         seen = np.zeros(seq_len + 1, np.int64)
         end = np.array([end_id], "<u4").tobytes()
-        schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int32()), ("ids", pa.binary()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64()), ("part", pa.int32()), ("local_rank", pa.int64())])
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                piece = batch.slice(at, 500)
+            schema = schema or pa.schema([batch.schema.field("doc_id"), ("start", pa.int64()), ("length", pa.int64()), ("ids", pa.binary()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64()), ("part", pa.int32()), ("local_rank", pa.int64())])
+            for at in range(0, batch.num_rows, 250):
+                piece = batch.slice(at, 250)
                 cols: list[list] = [[] for _ in range(8)]
                 for doc_id, raw in zip(piece.column(0).to_pylist(), map(coder.encode, piece.column(1).to_pylist()), strict=True):
                     raw += end
@@ -119,7 +112,8 @@ def tokenised_pieces(df: DataFrame, tokenizer_path: str, seq_len: int, end_id: i
                         seen[size] += 1
                 yield pa.record_batch([pa.array(c, f.type) for c, f in zip(cols, schema, strict=True)], schema=schema)
 
-    return df.select(df[id_col].cast("long").alias("doc_id"), text_of(df, text_col).alias("text")).mapInArrow(run, PIECES)
+    docs = df.select(df[id_col].alias("doc_id"), text_of(df, text_col).alias("text"))
+    return docs.mapInArrow(tidy(run), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, {PIECES}")
 
 
 def shortest_pack_first(histogram: dict[int, int], seq_len: int) -> list[tuple[list[int], int]]:
@@ -189,7 +183,7 @@ def placements(patterns: list[tuple[list[int], int]]) -> dict[int, tuple]:
 
 
 def pack(df: DataFrame, tokenizer_path: str, seq_len: int = 2048, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per piece: doc_id, start, length, ids, ids_crc32, doc_tokens, sequence_id, offset."""
+    """One row per piece: doc_id (of whatever type), start, length, ids, ids_crc32, doc_tokens, sequence_id, offset."""
     pieces = materialise(tokenised_pieces(df, tokenizer_path, seq_len, end_id, id_col, text_col), "pack-pieces")
     counts = pieces.groupBy("part", "length").agg(F.count(F.lit(1)).alias("n"))
     from pyspark.sql import Window
@@ -199,7 +193,10 @@ def pack(df: DataFrame, tokenizer_path: str, seq_len: int = 2048, end_id: int =
     counts = materialise(counts.withColumn("first", F.coalesce(F.sum("n").over(before), F.lit(0))), "pack-counts")
     histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most seq_len rows
     where = placements(shortest_pack_first(histogram, seq_len))
-    ranked = pieces.join(counts.select("part", "length", "first"), ["part", "length"]).withColumn("rank", F.col("first") + F.col("local_rank"))
+    # Few rows go to every task; more than that are joined by file and length, which are spread over all files.
+    firsts = counts.select("part", "length", "first")
+    firsts = F.broadcast(firsts) if counts.count() <= BROADCAST_ROWS else firsts.hint("merge")
+    ranked = pieces.join(firsts, ["part", "length"]).withColumn("rank", F.col("first") + F.col("local_rank"))
 
     @F.pandas_udf("struct<sequence_id: long, offset: long>")
     def place(length, rank):
