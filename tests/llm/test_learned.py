@@ -65,12 +65,103 @@ def test_toxicity(spark):
 
 def test_grammar_patterns():
     g = toxicity.Grammar({}, {})
-    of = lambda t: dict(zip(toxicity.FEATURES, g.read(t), strict=True))
-    assert of("you are an idiot.")["targeted"] == 1 and of("an idiot.")["targeted"] == 0
-    assert of("you are not an idiot.")["negated"] == 1 and of("you are not an idiot.")["direct"] == 0
-    assert of("he said you are an idiot.")["reported"] == 1
-    assert of("not now. idiot!")["negated"] == 0  # scope ends with the clause
-    assert of("i will kill you")["threat at target"] == 1 and of("kill the process")["threat at target"] == 0
+    of = lambda t: [x for _, x, _ in g.matches(t)]
+    assert of("you are an idiot.") == ["insult", "aimed insult"] and of("an idiot.") == ["insult"]
+    assert of("You are NOT an idiot.") == ["negated insult"] and of("you aren't an idiot") == ["negated insult"]
+    assert of("he said you are an idiot.") == ["reported insult"] and of('she said: "kill him"') == ["reported threat"]
+    assert of("not now. idiot!") == ["insult"] and of("not you, idiot") == ["insult"]  # scope ends with the clause
+    assert of("i will kill you") == ["threat", "aimed threat"] and of("kill the process") == ["threat"]
+    assert of("i will not kill you") == ["negated threat"] and of("he said i will kill you") == ["reported threat"]
+    assert of("you idiot, you are not stupid.") == ["insult", "aimed insult", "negated insult"]
+    assert of("“Idiot” … you") == ["insult", "aimed insult"] and of("") == of("nothing here") == []
+    assert [w for w, _, _ in g.matches("a b. c idiot. d")] == [3]
+
+
+def by_hand(symbols, marks):
+    """What each insult and threat is, and what each clause ends in, read off the sentence word by word."""
+    out, start = [], 0
+    ends = [i for i, m in enumerate(marks) if m or symbols[i] == toxicity.PAUSE]
+    opened = False  # the clause before ended in a verb of saying
+    for end in [*ends, *([len(symbols) - 1] if not ends or ends[-1] != len(symbols) - 1 else [])]:
+        clause, said, plain, target = symbols[start : end + 1], opened, set(), False
+        for i, x in enumerate(clause):
+            if x in (toxicity.INSULT, toxicity.THREAT):
+                negated = toxicity.NEGATION in clause[max(0, i - toxicity.SCOPE) : i]
+                kind = "negated " if negated else "reported " if said or toxicity.REPORT in clause[:i] else ""
+                out.append(kind + toxicity.SYMBOLS[x])
+                if not kind:
+                    plain.add(x)
+            target = target or x == toxicity.TARGET
+        if marks[end] or symbols[end] == toxicity.PAUSE:
+            if target and plain:
+                out.append("aimed " + ("threat" if toxicity.THREAT in plain else "insult"))
+            before = [x for x in clause if x != toxicity.PAUSE]
+            opened = bool(before) and before[-1] == toxicity.REPORT
+            if symbols[end] == toxicity.PAUSE and marks[end]:  # two pauses in a row
+                opened = False
+            if marks[end] == 2:
+                opened = False
+        start = end + 1
+    return out
+
+
+@settings(max_examples=500, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 6), st.sampled_from([0, 0, 0, 1, 2])), min_size=1, max_size=14))
+def test_grammar_against_brute_force(words):
+    symbols, marks = [x for x, _ in words], [m for _, m in words]
+    got = [toxicity.SYMBOLS[o] for _, o, _ in toxicity.Grammar({}, {}).read(symbols, marks)]
+    assert got == by_hand(symbols, marks)
+
+
+def test_weights_of_negated_and_reported_clauses(spark):
+    """Where labels say so, insults that are negated or reported count less than plain ones."""
+    rng = random.Random(3)
+    forms = [("you are an idiot", 1), ("you are not an idiot", 0), ("he said you are an idiot", 0), ("i will kill you", 1), ("i will not kill you", 0)]
+    rows = []
+    for i in range(400):
+        form, y = forms[i % 5]
+        rows.append((i, " ".join(rng.choices(["tree", "sun", "walk"], k=5)) + ". " + form + ".", y))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, y int")
+    model = toxicity.fit(docs, docs.selectExpr("doc_id", "y AS toxic"))
+    w = dict(zip(toxicity.FEATURES, model[2], strict=False))
+    assert w["negated insult"] < -0.5 and w["reported insult"] < -0.5 and w["negated threat"] < -0.5 and w["threat"] > 0.5
+    out = {r["doc_id"]: r["score"] for r in toxicity.score_toxicity(docs, model).collect()}
+    assert all((out[i] >= 0.5) == y for i, _, y in rows)
+
+
+def test_lexicon_has_no_cap(spark):
+    """All of 6,000 words that only toxic rows have are learned."""
+    words = [f"bad{i:05d}x" for i in range(6000)]
+    rows = [(i, " ".join(words[:3000] if i % 2 else words[3000:]), 1) for i in range(20)] + [(100 + i, "good text here", 0) for i in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    learned, _, _ = toxicity.fit(docs, docs, folds=1000, held_out=999)
+    assert len(learned) == 6000
+
+
+def test_sample_is_the_same_under_any_partitioning(spark):
+    from palisade.llm.training import labelled_sample
+
+    docs = spark.createDataFrame([(i, f"t{i}") for i in range(400)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(400)] * 2, "doc_id long, toxic int")
+    first, second = ({r["id"] for r in labelled_sample(docs.repartition(n), labels.repartition(n), "toxic", 5, 0, 100).collect()} for n in (1, 7))
+    assert first == second and len(first) == 100
+
+
+def test_long_words_are_read_whole(field):
+    address = "a" * 5000 + "@" + "b" * 300 + ".org"
+    assert [s[:2] for s in pii_crf.Finder(field).find(["x " + address])[0]["email"]] == [(2, 2 + len(address))]
+    assert pii_crf.word_before("one  " + " " * 500 + "x", 505) == "one" and pii_crf.word_before(" x", 1) == ""
+    spans = [(5, 9), (0, 3), (2, 7), (20, 21)]
+    test = pii_crf.touched(spans)
+    assert all(test(a, b) == any(x < b and y > a for x, y in spans) for a in range(25) for b in range(a + 1, 26))
+
+
+def test_counts_keep_their_width():
+    for values in ([1, 5, 2**31], [-(2**40), 3], [7], []):
+        a = np.array(values, np.int64)
+        assert language_model.expand(language_model.squeeze(language_model.narrow(a)), np.int32).tolist() == values
+    rows = [(p, s.stop - s.start) for p, s in language_model._ranges(np.array([1, 2, 1 << 63], np.uint64), 1000)]
+    assert rows == [(0, 2), (500, 1)]
 
 
 @settings(max_examples=300, deadline=None)

@@ -93,3 +93,23 @@ def test_sharding(spark, tmp_path):
     order = [r["doc_id"] for r in sorted((r for r in out if r["shard"] == 0), key=lambda r: r["_slot_"]) if r["doc_id"] is not None]
     assert order != sorted(order)
     assert sharding.shard_rows(df.limit(0), path=str(tmp_path / "c")).count() == 0
+
+
+def test_sharding_spreads_repeated_rows(spark, tmp_path):
+    """One row is half of the table, and no bucket is far above its size."""
+    rows = [(1, "same text " * 20)] * 3000 + [(i, f"row {i} " * 25) for i in range(10, 3010)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4, "text")
+    df.write.parquet(str(tmp_path / "in"))
+    df = spark.read.parquet(str(tmp_path / "in"))
+    size = df.select(F.sum(sharding.row_bytes(df))).first()[0]
+    buckets = -(-size // (64 << 10))
+    counted = []
+    keep, sharding.materialise = sharding.materialise, lambda x, name, *a: (counted.append(x.collect()) if name == "shard-counts" else None, keep(x, name, *a))[1]
+    try:
+        for n, source in enumerate((df, df.repartition(3))):
+            out = sharding.shard_rows(source, bucket_bytes=64 << 10, path=str(tmp_path / f"out{n}"))
+            assert sorted((r["shard"], r["_slot"]) for r in out.collect()) == [(s, i) for s in range(8) for i in range(750)]
+            before, after = ([r["_n"] for r in rows] for rows in counted[-2:])
+            assert max(before) > 3000 and len(after) == buckets and max(after) < 2 * sum(after) / buckets
+    finally:
+        sharding.materialise = keep

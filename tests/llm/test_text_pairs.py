@@ -153,6 +153,23 @@ def test_packing_round_trip(spark):
     assert packing.pack(spark.createDataFrame([], "doc_id long, text string"), tokenizer_path()).count() == 0
 
 
+def test_packing_keeps_any_id(spark):
+    df = spark.createDataFrame([("a", "one two"), (None, "three"), ("b", None)], "doc_id string, text string")
+    out = packing.pack(df, tokenizer_path())
+    assert {r["doc_id"] for r in out.collect()} == {"a", None, "b"} and dict(out.dtypes)["length"] == "bigint"
+    big, packing.BROADCAST_ROWS = packing.BROADCAST_ROWS, 0  # the join without a broadcast
+    try:
+        assert sorted((r["sequence_id"], r["offset"], r["length"]) for r in packing.pack(df, tokenizer_path()).collect()) == sorted((r["sequence_id"], r["offset"], r["length"]) for r in out.collect())
+    finally:
+        packing.BROADCAST_ROWS = big
+
+
+def test_decontamination_keeps_clashing_columns(spark):
+    df = spark.createDataFrame([(1, "the quick brown fox jumps over it", 7.5, "k"), (2, "nothing of that kind", 1.5, "k")], "doc_id long, text string, _bad double, _key string")
+    items = spark.createDataFrame([(9, "quick brown fox jumps")], "item_id long, text string")
+    assert [tuple(r) for r in decontaminate.decontaminate(df, items).collect()] == [(2, "nothing of that kind", 1.5, "k")]
+
+
 def test_patterns_use_the_histogram():
     rng = random.Random(1)
     hist = collections.Counter(min(2048, int(rng.lognormvariate(6, 1)) + 1) for _ in range(20_000))
