@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palisade.llm.common import materialise
+from palisade.llm.common import free_name, materialise
 from palisade.llm.decontaminate import decontaminate
 from palisade.llm.exact_dedup import deduplicate
 from palisade.llm.near_dedup import deduplicate_near
@@ -21,7 +21,8 @@ from palisade.llm.toxicity import fit, score_toxicity
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity score is under one half."""
     model = fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return score_toxicity(docs, model, out="_toxicity").where(F.col("_toxicity") < 0.5).select(*docs.columns)
+    out = free_name(docs, "_toxicity")
+    return score_toxicity(docs, model, out=out).where(F.col(out) < 0.5).drop(out)
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
