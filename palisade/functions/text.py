@@ -81,13 +81,17 @@ def labeled_fields(d: Spark, source: str = "corpus") -> str:
 def token_features(d: Spark, source: str = "corpus") -> str:
     """Shape features of every blank-separated token, with its neighbours': the input of a token classifier."""
     toks = d.keep(d.split("text", "[ \t\n]+"), "w", "w <> ''")
-    if d.name == "spark":
-        rows = f"SELECT doc_id, pos, token FROM (SELECT doc_id, posexplode({toks}) AS (pos, token) FROM {source}) p"
+    if d.name == "spark":  # neighbours are taken from the array, so no token is shuffled
+        cells = f"transform({toks}, w -> w)"
+        near = "transform(ts, (w, i) -> named_struct('pos', i, 'token', w, 'before', coalesce(get(ts, i - 1), ''), 'after', coalesce(get(ts, i + 1), '')))"
+        rows = f"SELECT doc_id, x.pos, x.token, x.before, x.after FROM (SELECT doc_id, explode({near}) AS x FROM (SELECT doc_id, {cells} AS ts FROM {source}) p) q"
+        before, after = "before", "after"
     else:
+        before, after = (f"coalesce({w}(token) OVER (PARTITION BY doc_id ORDER BY pos), '')" for w in ("lag", "lead"))
         rows = f"SELECT doc_id, unnest(range(0, len(ts))) AS pos, unnest(ts) AS token FROM (SELECT doc_id, {toks} AS ts FROM {source}) p"
     count = lambda cls: f"length({d.replace('token', f'[^{cls}]', '')})"
     shape = d.replace(d.replace(d.replace("token", "[A-Z]+", "X"), "[a-z]+", "x"), "[0-9]+", "d")
     return (
         f"SELECT doc_id, cast(pos as bigint) AS pos, token, cast(length(token) as bigint) AS n_chars, cast({count('A-Z')} as bigint) AS n_upper, cast({count('0-9')} as bigint) AS n_digit, cast({count('AEIOUaeiou')} as bigint) AS n_vowel, {shape} AS shape, "
-        f"{d.matches('token', '^[A-Z][a-z]+$')} AS is_title, {d.matches('token', '^[A-Z]{2,}$')} AS is_caps, {d.matches('token', '@')} AS has_at, coalesce(lag(token) OVER (PARTITION BY doc_id ORDER BY pos), '') AS before, coalesce(lead(token) OVER (PARTITION BY doc_id ORDER BY pos), '') AS after FROM ({rows}) r"
+        f"{d.matches('token', '^[A-Z][a-z]+$')} AS is_title, {d.matches('token', '^[A-Z]{2,}$')} AS is_caps, {d.matches('token', '@')} AS has_at, {before} AS before, {after} AS after FROM ({rows}) r"
     )

@@ -10,7 +10,7 @@ from ..functions.text import normalize
 from ..plans import stages
 from ..plans.catalog import Catalog
 from .detect import detect
-from .sources import dictionary_families, encoded_spans, labelled_spans
+from .sources import dictionary_families, encoded_spans
 
 PASSES = ("context_boost", "denylist", "locale_boost", "nhs_phone_conflict", "filter_all", "person_inside", "validated", "heuristic_verify", "threshold")
 
@@ -22,9 +22,9 @@ CARRY = ("context_boost", "denylist", "locale_boost", "nhs_phone_conflict", "fil
 def apply(name: str, det: DataFrame, corpus: DataFrame | None = None) -> DataFrame:
     """One pass over detections. ``corpus`` (doc_id, text) is joined by passes that look at whole texts, unless ``det`` carries what they need."""
     make = getattr(stages, name)
-    carried = {"locale", "geo"} <= set(det.columns)
-    sql = make(SPARK, carried) if carried and name in CARRY else make(SPARK)
-    return run_sql(sql, det=det, **({} if corpus is None or carried else {"corpus": corpus}))
+    known = {"locale", "geo"} & set(det.columns)
+    sql = make(SPARK, True) if known and name in CARRY else make(SPARK)
+    return run_sql(sql, det=det, **({} if corpus is None or known else {"corpus": corpus}))
 
 
 def run_sql(sql: str, **frames: DataFrame) -> DataFrame:
@@ -47,26 +47,50 @@ def dedup_spans(det: DataFrame) -> DataFrame:
 def analyze(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", catalog: Catalog | None = None, families: tuple[str, ...] | None = None, debug: bool = False) -> DataFrame:
     """Texts to final detections: normalise, recognise, boost, drop, resolve, check, read encoded payloads, cut off, de-duplicate.
 
-    One scan finds what patterns and dictionaries say, labelled fields join it; later passes work on the matches and their surroundings. What
-    is found in encoded payloads meets the cut-offs only. Offsets count in the normalised text. ``families`` keeps to those families, without
+    One scan finds what patterns, dictionaries and labelled fields say; later passes work on the matches, their surroundings and what the scan
+    carries of the text, and no text is joined back. Rows that share an id, or have none, are texts of their own. What is found in encoded
+    payloads meets the cut-offs only. Offsets count in the normalised text. ``families`` keeps to those families, without
     dictionaries, fields and payloads. With ``debug`` the rows are the raw matches
     with the score after each pass (null once dropped).
     """
-    corpus = normalize(df.select(df[id_col].alias("doc_id"), df[text_col].alias("text")).where("text is not null"))
-    # Passes that look at whole texts join them: without a join between them, the optimiser would write each pass's score into the next
-    # one's conditions over and over.
+    corpus = numbered(df, id_col, text_col)
     catalog = catalog or Catalog()
-    det = detect(corpus, families, catalog if families else Catalog((*catalog.families, *dictionary_families())))
-    if not families:
-        det = det.unionByName(labelled_spans(corpus))
+    det = detect(corpus, families, catalog if families else Catalog((*catalog.families, *dictionary_families())), carry=carried(), fields=not families)
     if debug:
-        out = det.select("doc_id", "entity_type", "pattern", "s", "e", "value", F.col("score").alias("found"))
-        for name in PASSES:
-            det = apply(name, det, corpus)
-            out = out.join(det.select("doc_id", "pattern", "s", "e", F.col("score").alias(name)), ["doc_id", "pattern", "s", "e"], "left")
-        return out
+        return _trace(det)
     for name in PASSES:
         if name == "threshold" and not families:
             det = det.unionByName(encoded_spans(corpus, catalog), allowMissingColumns=True)
-        det = apply(name, det, corpus)
-    return dedup_spans(det)
+        det = apply(name, fence(det, name))
+    return dedup_spans(fence(det, "dedup")).withColumn("doc_id", F.col("doc_id.id"))
+
+
+def numbered(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, text) with the text normalised. ``doc_id`` is the id with the row's number, so rows that share an id, or have none, stay apart."""
+    row = F.struct(F.monotonically_increasing_id().alias("row"), df[id_col].alias("id")).alias("doc_id")
+    return normalize(df.select(row, df[text_col].alias("text")).where("text is not null"))
+
+
+def carried() -> dict[str, str]:
+    """What the passes want to know of a whole text."""
+    return {"locale": stages.locale_of(SPARK), "geo": stages.geo_of(SPARK)}
+
+
+def fence(det: DataFrame, name: str) -> DataFrame:
+    """Count the rows that a pass gets, as the metric ``name``. The optimiser does not move expressions across such a count, which keeps it
+    from writing each pass's score into the next one's conditions over and over."""
+    return det.observe(f"before {name}", F.count(F.lit(1)).alias("rows"))
+
+
+def _trace(det: DataFrame) -> DataFrame:
+    """The raw matches with their scores after each pass, as rows of (match, pass, score) turned into columns: one shuffle, no joins.
+
+    Matches of a row and pattern that begin and end alike are one. A pass that changes the type of a match keeps it."""
+    key = ["doc_id", "pattern", "s", "e"]
+    rows = det.select(*key, F.lit("found").alias("step"), "score", "entity_type", "value")
+    for name in PASSES:
+        det = apply(name, fence(det, name))
+        rows = rows.unionByName(det.select(*key, F.lit(name).alias("step"), "score", F.lit(None).cast("string").alias("entity_type"), F.lit(None).cast("string").alias("value")))
+    steps = [F.max(F.when(F.col("step") == x, F.col("score"))).alias(x) for x in ("found", *PASSES)]
+    wide = rows.groupBy(*key).agg(F.max("entity_type").alias("entity_type"), F.max("value").alias("value"), *steps)
+    return wide.select(F.col("doc_id.id").alias("doc_id"), "pattern", "s", "e", "entity_type", "value", "found", *PASSES)

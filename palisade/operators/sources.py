@@ -1,15 +1,13 @@
-"""Spans that come from elsewhere than the pattern catalogue: dictionaries, labelled fields and encoded payloads."""
+"""Spans that come from elsewhere than the pattern catalogue: dictionaries and encoded payloads."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from ..functions.dialect import SPARK
-from ..functions.text import FIELDS, STOP_VALUES
 from ..plans import dictionaries as dic
 from ..plans.catalog import Catalog, Family, Pattern
-from .detect import AFTER, BEFORE, detect
+from .detect import detect
 
 
 def _any(terms) -> str:
@@ -30,29 +28,6 @@ def dictionary_families() -> tuple[Family, ...]:
     )
 
 
-FIELD = "struct<rule: string, entity_type: string, score: double, s: bigint, value: string>"
-
-
-def labelled_spans(corpus: DataFrame, carry: dict[str, str] | None = None) -> DataFrame:
-    """The values of labelled fields, with their offsets, in the columns of ``detect``."""
-    found = []
-    for rule, kind, score, rx in FIELDS:
-        pair = f"zip_with({SPARK.extract_all('text', rx)}, {SPARK.extract_all('text', rx, 1)}, (m, g) -> named_struct('m', m, 'g', g))"
-        zipped = f"zip_with({pair}, {SPARK.split('text', rx)}, (x, r) -> named_struct('m', x.m, 'g', x.g, 'r', r))"
-        start = "a.at + length(z.r)"
-        # The value is the last thing of its kind in a match: after it come only closing marks.
-        one = f"named_struct('rule', '{rule}', 'entity_type', '{kind}', 'score', {score}D, 's', {start} + length(z.m) - instr(reverse(z.m), reverse(z.g)) + 1 - length(z.g), 'value', z.g)"
-        step = f"named_struct('at', {start} + coalesce(length(z.m), 0), 'out', if(z.m is null, a.out, concat(a.out, array({one}))))"
-        found.append(f"CASE WHEN {SPARK.matches('text', rx)} THEN aggregate({zipped}, named_struct('at', 0L, 'out', cast(array() as array<{FIELD}>)), (a, z) -> {step}, a -> a.out) ELSE cast(array() as array<{FIELD}>) END")
-    rows = corpus.select("doc_id", "text", F.explode(F.expr(f"concat({', '.join(found)})")).alias("x"))
-    rows = rows.selectExpr("doc_id", "text", "x.entity_type", "x.rule AS pattern", "x.score", "x.s + length(x.value) - length(ltrim(x.value)) AS s", "trim(x.value) AS value")
-    stop = ", ".join(f"'{x}'" for x in STOP_VALUES)
-    shape = f"NOT (entity_type = 'PERSON' AND {SPARK.matches('value', '(?:ing|tion|ment|ness)$')}) AND (entity_type <> 'PHONE_NUMBER' OR length({SPARK.replace('value', '[^0-9]', '')}) >= 7)"
-    rows = rows.where(f"value <> '' AND NOT lower(value) IN ({stop}) AND {shape}").withColumn("e", F.expr("s + length(value)"))
-    around = (f"substring(text, greatest(cast(s as int) - {BEFORE}, 0) + 1, least(cast(s as int), {BEFORE})) AS before", f"substring(text, cast(e + 1 as int), {AFTER}) AS after")
-    return rows.selectExpr("doc_id", "'labelled' AS family", "entity_type", "pattern", "score", "s", "e", "value", *around, *[f"{x} AS {n}" for n, x in (carry or {}).items()])
-
-
 #: Encoded runs and how they are read; decoded text of at least so many printable characters is scanned.
 ENCODED = (
     ("base64", "[A-Za-z0-9+/]{20,}={0,2}", "CASE WHEN length(value) % 4 = 0 THEN try_validate_utf8(try_to_binary(value, 'base64')) END", 5),
@@ -62,8 +37,9 @@ ENCODED = (
 
 
 def encoded_spans(corpus: DataFrame, catalog: Catalog) -> DataFrame:
-    """What is found in decoded payloads. The offsets are those of the payload in the text, the value is what was decoded."""
+    """What is found in decoded payloads, from a score of 0.5 on and at 0.9 of it. The offsets are those of the payload in the text, the value
+    is what was decoded."""
     runs = Family("encoded", "ENCODED", "[A-Za-z0-9+/]{16}|%[0-9A-Fa-f]{2}", (), tuple(Pattern(n, 1.0, rx) for n, rx, _, _ in ENCODED))
     decoded = "CASE pattern " + " ".join(f"WHEN '{n}' THEN CASE WHEN length({x}) >= {least} THEN {x} END" for n, _, x, least in ENCODED) + " END"
     payloads = detect(corpus, catalog=Catalog((runs,))).selectExpr("named_struct('doc_id', doc_id, 's', s, 'e', e, 'encoding', pattern) AS doc_id", f"{decoded} AS text").where("text is not null").where(SPARK.matches("text", "^[ -~]+$"))
-    return detect(payloads, catalog=catalog).selectExpr("doc_id.doc_id AS doc_id", "family", "entity_type", "concat(doc_id.encoding, ' ', pattern) AS pattern", "score", "doc_id.s AS s", "doc_id.e AS e", "value", "before", "after")
+    return detect(payloads, catalog=catalog).where("score >= 0.5").selectExpr("doc_id.doc_id AS doc_id", "family", "entity_type", "concat('encoded_', doc_id.encoding) AS pattern", "round(0.9D * score, 4) AS score", "doc_id.s AS s", "doc_id.e AS e", "value", "before", "after")

@@ -551,6 +551,8 @@ salutation | 0.92 | \bDear {CAP}(?: {CAP})?,
 signature | 0.90 | \b(?:Sincerely|Regards|Best),? ?\n ?{CAP} {CAP}\b
 role | 0.88 | \b(?:Customer|Patient|Employee|Contact): ?{CAP} {CAP}\b
 initials | 0.80 | \b[A-Z]\. ?[A-Z]\. {CAP}\b
+caps_labeled | 0.88 | \b(?:NAME|PATIENT|CLIENT|EMPLOYEE|CUSTOMER|CONTACT)\s*:\s*[A-Z]{{2,}}(?:\s+[A-Z]{{2,}})+\b
+intl_prefix | 0.85 | \b(?:Herr|Frau|Monsieur|Madame|Mme|Signor|Signora|Senhor|Senhora)\s+{CAP}\s+{CAP}\b
 labeled_person | 0.85 | (?:Patient|Client|Applicant|Cardholder|Beneficiary|Employee|Recipient|Sender|Owner|Holder)\s*:\s*[A-Z][A-Za-z]+(?:\s+[A-Z][A-Za-z]+){{0,2}}
 """),
 )

@@ -22,6 +22,7 @@ CASES = (
     "4-1-5-5-5-5-2-6-7 and 4 1 5 5 5 5 2 6 7 1", "12.34.56.78.90 and 12-34.56-78.90, 0123.4567890", "0044-20-7946-0958, 00-44-20 79 46, 0049 301234 5678", "01234-567890, 20-7946 0958-12, 020-79-46-0958, 012.3456789, 012 3456789", "180012345678901 and 6212 3456 7890 1234 567, 501234567890, 1234 567890 12345", "sk_test_abcdefghijklmnop and X1p83<A {R12Lw#", "MORGA 657054 SM 91234, B072RRE2I55, 01234567, A123456",
     "12ABC345D, AB1234CD, A12345, ABC 123, AB 1234 CD, 12-34", "abcdefghij7 and sam42", "sid=abc123; Path=/, device 0123456789abcdef and 123E4567-E89B-12D3-A456-426614174000", "chase.com and wells . com and hsbc.co.uk", "219 09 9999, 219 099 9999, 219-099-9999, 219.099.9999, 2190999999, 2190-9999-1234", "123.456.789.012, 123.456.789 and 123.4567.8901.23", "AB1234567, AB12345C, ABCD1234567890, A1.B2.C3.4, GARC8 850101 1 123, GARC 850101 HM 123, ABC12345, LÉVÊQUE 12345",
     "12FRA34AB5678CD, 12.FRA.34AB5678.1.234567.ABC, Jan-Peeters-12-A-34-5-BEL", "1-23-45-6789-012-34, 12.34.56.78.A12.3, 1 85 05 78 006 084 36, 1234 5678 9012",
+    "PATIENT: JOHN MILLER and Herr Peter Schmidt wrote from maria.lopez or ann_lee", "a hyphen-\nated word and co-\n op",
 )
 
 

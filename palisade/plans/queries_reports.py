@@ -13,7 +13,6 @@ from .fixtures import corpus, corpus_sql
 from .queries_spans import detections_sql
 from .views import with_views
 
-HEADLINE = ("email", "ip", "phone", "card", "credential")
 DOCUMENTS = "SELECT doc_id, text FROM documents WHERE text IS NOT NULL"
 
 #: Over documents and invented rows.
@@ -30,7 +29,7 @@ ON_CORPUS = {
 #: Over the driver's tables.
 ON_TABLES = {n: getattr(R, n) for n in ("mask_columns", "merge_blocks", "table_rows", "table_columns", "header_context", "fill_missing", "spatial_zone", "horizontal_anchor", "threshold_sweep", "optimal_threshold", "ivw_weights", "auto_adjust", "feedback_categories", "dataset_quality", "conversation_pii", "event_windows")}
 #: Over detections of the documents.
-ON_DETECTIONS = {n: getattr(R, n) for n in ("pii_by_source", "pii_rollup", "pii_topk_docs", "prf_by_type")}
+ON_DETECTIONS = {n: getattr(R, n) for n in ("pii_by_source", "pii_rollup", "pii_topk_docs")}
 
 
 def _corpus(make):
@@ -41,10 +40,10 @@ def _tables(make):
     return lambda spark, sf_dir: with_views(spark, sf_dir, make(SPARK))
 
 
-def _detections(make, families=HEADLINE):
+def _detections(make):
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-        return with_views(spark, sf_dir, make(SPARK), det=detect(docs, families))
+        return with_views(spark, sf_dir, make(SPARK), det=detect(docs, carry={"source": "source"}))
 
     return query
 
@@ -95,7 +94,7 @@ def normalize_nfkc(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {n: _corpus(m) for n, m in ON_CORPUS.items()} | {n: _tables(m) for n, m in ON_TABLES.items()} | {n: _detections(m) for n, m in ON_DETECTIONS.items()}
 QUERIES |= {"person_vote": person_vote, "column_profile": column_profile, "recognizer_registry": registry, "normalize_nfkc": normalize_nfkc}
 SQL = {n: f"WITH corpus AS ({corpus_sql()}) {m(DUCK)}" for n, m in ON_CORPUS.items()} | {n: m(DUCK) for n, m in ON_TABLES.items()}
-SQL |= {n: _merged_with(m(DUCK), det=detections_sql(HEADLINE, DOCUMENTS)) for n, m in ON_DETECTIONS.items()}
+SQL |= {n: _merged_with(m(DUCK), det=detections_sql(None, DOCUMENTS)) for n, m in ON_DETECTIONS.items()}
 SQL["person_vote"] = _merged_with(R.person_vote(DUCK), det=detections_sql(("person",)))
 SQL["column_profile"] = f"WITH sample AS (SELECT concat(tab, '.', col) AS doc_id, sample AS text, sample_size FROM ({R.column_sample(DUCK)})), det AS ({detections_sql(COLUMN_FAMILIES, 'SELECT doc_id, text FROM sample')}) {_PROFILE}"
 SQL["recognizer_registry"] = _registry_sql()

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..functions.dialect import DUCK
-from ..operators.detect import detect
+from ..operators.detect import detect, redact
 from ..operators.passes import analyze, apply, dedup_spans
 from . import stages
 from .catalog import FAMILIES
@@ -23,7 +23,7 @@ SHOWN = {
     "validated": ("iban", "card", "phone", "national_id", "ssn", "financial"),
     "heuristic_verify": ("company", "location", "id"),
     "islands": ("ip", "phone", "card", "email", "credential"),
-    "redact_text": ("ip", "phone", "card", "email"),
+    "redact_text": tuple(f.name for f in FAMILIES),
 }
 NAMES = {"threshold": "threshold_filter", "validated": "validate_delta", "islands": "overlap_islands"}
 
@@ -77,5 +77,9 @@ def analyze_debug(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _filters = {f"filter_{k.lower()}": _filter(k) for k in stages.filters(DUCK)}
-QUERIES = {NAMES.get(n, n): _pass(n) for n in SHOWN} | {k: v[0] for k, v in _filters.items()} | {"locale_detect": locale_detect, "dedup_spans": dedup, "analyze_text": analyze_text, "analyze_debug": analyze_debug}
+def redact_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return redact(corpus(spark, sf_dir)).select("doc_id", "redactions", "redacted")
+
+
+QUERIES = {NAMES.get(n, n): _pass(n) for n in SHOWN} | {k: v[0] for k, v in _filters.items()} | {"locale_detect": locale_detect, "dedup_spans": dedup, "analyze_text": analyze_text, "analyze_debug": analyze_debug, "redact_text": redact_text}
 SQL = {NAMES.get(n, n): _sql(n) for n in SHOWN} | {k: v[1] for k, v in _filters.items()} | {"locale_detect": f"WITH corpus AS ({corpus_sql()}) {stages.locale_detect(DUCK)}"}

@@ -66,7 +66,7 @@ def blocks(d: Spark) -> str:
     else:
         lines = "SELECT doc_id, unnest(range(0, len(ls))) AS ln, unnest(ls) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents WHERE text IS NOT NULL) a"
         cells = "SELECT doc_id, ln, unnest(range(0, len(cs))) AS k, trim(unnest(cs)) AS text FROM (SELECT doc_id, ln, string_split_regex(line, ' [|] ') AS cs FROM lines) b"
-    return f"lines AS ({lines}), cells AS ({cells}), blocks AS (SELECT doc_id, cast(ln * 1000 + k as bigint) AS block, cast(ln as bigint) AS ln, text, cast(10 + 120 * k as double) AS x1, cast(10 + 120 * k + least(110, 6 * length(text)) as double) AS x2, cast(14 * ln as double) AS y1, cast(14 * ln + 12 as double) AS y2 FROM cells WHERE text <> '')"
+    return f"lines AS ({lines}), cells AS ({cells}), blocks AS (SELECT doc_id, cast(ln as bigint) * 1000000000 + k AS block, cast(ln as bigint) AS ln, text, cast(10 + 120 * k as double) AS x1, cast(10 + 120 * k + least(110, 6 * length(text)) as double) AS x2, cast(14 * ln as double) AS y1, cast(14 * ln + 12 as double) AS y2 FROM cells WHERE text <> '')"
 
 
 def merge_blocks(d: Spark) -> str:
@@ -139,9 +139,15 @@ SELECT entity_type, cut, cast(sum(CASE WHEN hundredth >= cut AND is_correct THEN
 FROM (SELECT entity_type, cast(round(confidence * 100) as int) AS hundredth, is_correct, count(*) AS n FROM {SAMPLES} s GROUP BY 1, 2, 3) c CROSS JOIN (VALUES {grid}) AS g(cut) GROUP BY entity_type, cut) t""".replace("precision,", "prec,").replace("AS precision", "AS prec")
 
 
+LEAST_SAMPLES = 10
+#: Cut-offs in force, by type, where they are not the default.
+CURRENT = {"view": 0.55, "click": 0.65, "purchase": 0.75}
+
+
 def optimal_threshold(d: Spark) -> str:
-    """The lowest cut-off of each type whose running precision is 0.6 or more, walking down by confidence; ties are in order of counts."""
-    return f"""SELECT entity_type, min(confidence) AS threshold FROM (SELECT entity_type, confidence, sum(ok) OVER w AS tp, sum(n) OVER w AS total FROM (SELECT entity_type, confidence, count(CASE WHEN is_correct THEN 1 END) AS ok, count(*) AS n FROM {SAMPLES} s GROUP BY entity_type, confidence) c WINDOW w AS (PARTITION BY entity_type ORDER BY confidence DESC ROWS UNBOUNDED PRECEDING)) r WHERE tp >= 0.6 * total GROUP BY entity_type"""
+    """The lowest cut-off of each type of ten samples or more whose running precision is 0.90 or more, walking down by confidence; types that
+    never reach it have none. Equal confidences are walked together."""
+    return f"""SELECT entity_type, min(CASE WHEN tp >= 0.90 * total THEN confidence END) AS threshold, max(total) AS samples FROM (SELECT entity_type, confidence, sum(ok) OVER w AS tp, cast(sum(n) OVER w as bigint) AS total FROM (SELECT entity_type, confidence, count(CASE WHEN is_correct THEN 1 END) AS ok, count(*) AS n FROM {SAMPLES} s GROUP BY entity_type, confidence) c WINDOW w AS (PARTITION BY entity_type ORDER BY confidence DESC ROWS UNBOUNDED PRECEDING)) r GROUP BY entity_type HAVING max(total) >= {LEAST_SAMPLES}"""
 
 
 def ivw_weights(d: Spark) -> str:
@@ -152,8 +158,10 @@ SELECT model, round(cast(CASE WHEN max(w) OVER () > min(w) OVER () THEN 0.7 + 0.
 
 
 def auto_adjust(d: Spark) -> str:
-    """Cut-offs moved by the rate of false positives, between 0.3 and 0.95."""
-    return f"SELECT entity_type, round(fp_rate, 6) AS fp_rate, round(cast(least(0.95, greatest(0.3, 0.65 + CASE WHEN fp_rate > 0.3 THEN 0.2 * fp_rate WHEN fp_rate < 0.1 THEN -0.05 ELSE 0 END)) as double), 4) AS threshold FROM (SELECT entity_type, cast(avg(cast(CASE WHEN is_correct THEN 0 ELSE 1 END as double)) as double) AS fp_rate FROM {SAMPLES} s GROUP BY entity_type) t"
+    """Cut-offs in force, moved by the rate of false positives: up by a fifth of a rate over 0.3, down by 0.05 under 0.1 if over 0.6, and kept
+    between 0.3 and 0.95."""
+    now = "CASE entity_type " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in CURRENT.items()) + " ELSE 0.65 END"
+    return f"SELECT entity_type, round(fp_rate, 6) AS fp_rate, now AS before, round(cast(least(0.95, greatest(0.3, now + CASE WHEN fp_rate > 0.3 THEN 0.2 * fp_rate WHEN fp_rate < 0.1 AND now > 0.6 THEN -0.05 ELSE 0 END)) as double), 4) AS threshold FROM (SELECT entity_type, cast({now} as double) AS now, cast(avg(cast(CASE WHEN is_correct THEN 0 ELSE 1 END as double)) as double) AS fp_rate FROM {SAMPLES} s GROUP BY entity_type) t"
 
 
 #: Corrections by people: text, detected type, suggested types (sorted, comma-joined) (invented).
@@ -166,33 +174,30 @@ def feedback_categories(d: Spark) -> str:
     return f"""SELECT category, detected, count(*) AS n FROM (SELECT detected, CASE WHEN row_number() OVER (PARTITION BY txt, detected, suggested ORDER BY id) > 1 THEN 'duplicate' WHEN detected = 'CUSTOM' AND suggested NOT IN ('', 'CUSTOM') THEN 'missed' WHEN detected = 'CUSTOM' THEN 'unclassified' WHEN suggested IN ('', 'CUSTOM') THEN 'false positive' WHEN {inside} THEN 'confirmed' ELSE 'misclassified' END AS category FROM (VALUES {rows}) AS f(id, txt, detected, suggested)) t GROUP BY category, detected"""
 
 
-def prf_by_type(d: Spark) -> str:
-    """Strict precision and recall of pattern matches: gold is every 13 to 19 digit number and address that passes its check."""
-    from ..functions.checksums import card_valid, digits
-
-    gold = f"(CASE WHEN entity_type = 'CREDIT_CARD' THEN {card_valid(d, digits(d, 'value'))} ELSE true END)"
-    return f"SELECT entity_type, count(*) AS found, count(CASE WHEN gold THEN 1 END) AS correct, round(cast(avg(cast(CASE WHEN gold THEN 1 ELSE 0 END as double)) as double), 6) AS prec FROM (SELECT DISTINCT doc_id, entity_type, s, e, {gold} AS gold FROM det) t GROUP BY entity_type"
-
-
 def dataset_quality(d: Spark) -> str:
     """By source: documents, labelled shares, and texts with masked or corrupted values."""
     bad = d.matches("text", r"\*{3,}|#{3,}|[xX]{4,}|N/A")
     return f"SELECT source, count(*) AS docs, count(CASE WHEN quality = 1 THEN 1 END) AS good, count(CASE WHEN toxic = 1 THEN 1 END) AS toxic, count(CASE WHEN {bad} THEN 1 END) AS corrupted FROM documents LEFT JOIN labels ON documents.doc_id = labels.doc_id GROUP BY source"
 
 
+def sourced(d: Spark) -> str:
+    """Detections with their source, which the scan carries; the check engine joins it."""
+    return "det" if d.name == "spark" else "(SELECT det.*, x.source FROM det JOIN (SELECT doc_id AS at, source FROM documents) x ON det.doc_id = x.at)"
+
+
 def pii_by_source(d: Spark) -> str:
     """Matches by source and type, with the risk tier and a masked example."""
     masked = f"min(concat(substring(value, 1, 2), '***'))"  # noqa: F541
-    return f"SELECT source, entity_type, {risk()} AS risk, count(*) AS n, count(DISTINCT det.doc_id) AS docs, {masked} AS example FROM det JOIN (SELECT doc_id AS at, source FROM documents) x ON det.doc_id = x.at GROUP BY source, entity_type"
+    return f"SELECT source, entity_type, {risk()} AS risk, count(*) AS n, count(DISTINCT doc_id) AS docs, {masked} AS example FROM {sourced(d)} GROUP BY source, entity_type"
 
 
 def pii_rollup(d: Spark) -> str:
-    return f"SELECT coalesce(source, 'all') AS source, coalesce(kind, 'all') AS kind, count(*) AS n FROM (SELECT source, {rollup_type()} AS kind FROM det JOIN (SELECT doc_id AS at, source FROM documents) x ON det.doc_id = x.at) t GROUP BY ROLLUP (source, kind)"
+    return f"SELECT coalesce(source, 'all') AS source, coalesce(kind, 'all') AS kind, count(*) AS n FROM (SELECT source, {rollup_type()} AS kind FROM {sourced(d)}) t GROUP BY ROLLUP (source, kind)"
 
 
 def pii_topk_docs(d: Spark) -> str:
     """The five documents of each source with the most matches."""
-    return "SELECT source, doc_id, n, r FROM (SELECT source, doc_id, n, cast(row_number() OVER (PARTITION BY source ORDER BY n DESC, doc_id) as bigint) AS r FROM (SELECT source, det.doc_id, count(*) AS n FROM det JOIN (SELECT doc_id AS at, source FROM documents) x ON det.doc_id = x.at GROUP BY source, det.doc_id) c) t WHERE r <= 5"
+    return f"SELECT source, doc_id, n, r FROM (SELECT source, doc_id, n, cast(row_number() OVER (PARTITION BY source ORDER BY n DESC, doc_id) as bigint) AS r FROM (SELECT source, doc_id, count(*) AS n FROM {sourced(d)} GROUP BY source, doc_id) c) t WHERE r <= 5"
 
 
 def conversation_pii(d: Spark) -> str:

@@ -211,14 +211,11 @@ SELECT *, CASE WHEN s < max(e) OVER (PARTITION BY doc_id ORDER BY s, e, pattern
 
 
 def redact_text(d: Spark) -> str:
-    """Texts with every island replaced by the label of its best match (the first by start, end and type among equals)."""
+    """Texts with every island replaced by the label of its best match (the first by start, end and type among equals), for the check engine;
+    ``operators.detect.redact`` does it in the scan."""
     best = f"""SELECT doc_id, s, e, {label()} AS label FROM (
 SELECT i.doc_id, i.s, i.e, det.entity_type, row_number() OVER (PARTITION BY i.doc_id, i.s ORDER BY det.score DESC, det.s, det.e DESC, det.entity_type) AS r
 FROM ({islands(d)}) i JOIN det ON det.doc_id = i.doc_id AND det.s >= i.s AND det.e <= i.e) t WHERE r = 1"""
     piece = "concat(substring(text, cast(prev as int) + 1, cast(s - prev as int)), label)"
     cut = f"SELECT b.doc_id, s, e, label, coalesce(lag(e) OVER (PARTITION BY b.doc_id ORDER BY s), 0) AS prev FROM ({best}) b"
-    if d.name == "spark":
-        joined = "array_join(transform(array_sort(collect_list(struct(s, piece))), x -> x.piece), '')"
-    else:
-        joined = "string_agg(piece, '' ORDER BY s)"
-    return f"SELECT doc_id, count(*) AS redactions, concat({joined}, substring(any_value(text), cast(max(e) as int) + 1)) AS redacted FROM (SELECT c.doc_id, s, e, text, {piece} AS piece FROM ({cut}) c JOIN corpus ON c.doc_id = corpus.doc_id) p GROUP BY doc_id"
+    return f"SELECT doc_id, count(*) AS redactions, concat(string_agg(piece, '' ORDER BY s), substring(any_value(text), cast(max(e) as int) + 1)) AS redacted FROM (SELECT c.doc_id, s, e, text, {piece} AS piece FROM ({cut}) c JOIN corpus ON c.doc_id = corpus.doc_id) p GROUP BY doc_id"

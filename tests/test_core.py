@@ -4,7 +4,7 @@ import pytest
 
 from palisade.config import Config
 from palisade.operators import evaluate, layout, tables
-from palisade.operators.detect import detect
+from palisade.operators.detect import AFTER, BEFORE, detect
 from palisade.operators.passes import analyze, dedup_spans
 from palisade.plans.catalog import FAMILIES, Catalog
 from palisade.plans.fixtures import CASES
@@ -40,7 +40,7 @@ def test_offsets_point_at_values(spark):
     found = detect(df).join(df, "doc_id").collect()
     assert len(found) > 150
     assert all(r["text"][r["s"] : r["e"]] == r["value"] for r in found)
-    assert all(r["before"] == r["text"][max(0, r["s"] - 150) : r["s"]] and r["after"] == r["text"][r["e"] : r["e"] + 50] for r in found)
+    assert all(r["before"] == r["text"][max(0, r["s"] - BEFORE) : r["s"]] and r["after"] == r["text"][r["e"] : r["e"] + AFTER] for r in found)
 
 
 def test_gates_are_necessary():
@@ -173,3 +173,48 @@ def test_streams_equal_batch(spark, tmp_path):
     q.stop()
     assert [r["value"] for r in spark.table("d").collect()] == ["a@b.org"]
     assert streaming.session_counts(ev).count() > 0 and streaming.over_limit(ev, limit=0, size="1 minute").count() > 0
+
+
+def test_rows_without_or_with_shared_ids_stay_apart(spark):
+    df = spark.createDataFrame([(1, "card 4111 1111 1111 1111 visa"), (1, "mail jane.roe@example.com"), (None, "mail joe@example.org"), (None, "card 5555555555554444 visa")], "doc_id long, text string")
+    out = sorted((r["entity_type"], r["value"], r["doc_id"]) for r in analyze(df, families=("card", "email")).collect())
+    assert out == [("CREDIT_CARD", "4111 1111 1111 1111", 1), ("CREDIT_CARD", "5555555555554444", None), ("EMAIL_ADDRESS", "jane.roe@example.com", 1), ("EMAIL_ADDRESS", "joe@example.org", None)]
+
+
+def test_scan_equals_plain_search(spark):
+    """Against Python's search of every pattern in every text, gate and automaton left out."""
+    import re
+
+    from palisade.operators.detect import _compiled, _letters
+
+    texts = list(CASES)
+    want = sorted((i, p.name, m.start(), m.end()) for i, t in enumerate(texts) for f in FAMILIES if re.search(f.gate, t, re.ASCII) for p in f.patterns for m in _compiled(p.regex).finditer(t))
+    got = sorted((r["doc_id"], r["pattern"], r["s"], r["e"]) for r in detect(rows(spark, *texts)).collect())
+    assert got == want
+    assert re.fullmatch(f"[{_letters()}]+", "aÉßñ中д") and not re.search(f"[{_letters()}]", "1 _.")
+
+
+def test_redact_keeps_rows_and_columns(spark):
+    from palisade.operators.detect import redact
+
+    df = spark.createDataFrame([(1, "a jane@example.com b", "x"), (None, "card 4111111111111111", "y"), (2, "none", "z"), (3, None, "w")], "doc_id long, text string, redactions_ string")
+    out = {r["doc_id"]: (r["redactions"], r["redacted"], r["redactions_"]) for r in redact(df, ("email", "card")).collect()}
+    assert out[1] == (1, "a [REDACTED EMAIL] b", "x") and out[None][2] == "y" and set(out) == {1, None}
+
+
+def test_run_history_counts_across_years(spark):
+    from palisade.operators.feedback import run_history
+
+    runs = spark.sql("SELECT timestamp'2025-12-20 00:00:00' + make_interval(0, 0, 0, id) AS at FROM range(30)")
+    ages = [r["age"] for r in run_history(runs, "at", keep=10).orderBy("at").collect()]
+    assert ages == list(range(30, 0, -1)) and run_history(runs, "at", keep=10).where("archived").count() == 20
+    assert run_history(runs.limit(0), "at").count() == 0
+
+
+def test_line_blocks_and_boxes(spark):
+    blocks = layout.line_blocks(rows(spark, "ab\n\ncdef", ""))
+    assert [tuple(r) for r in blocks.select("doc_id", "block", "s", "e").orderBy("block").collect()] == [(0, 0, 0, 2), (0, 2, 4, 8)]
+    spans = spark.createDataFrame([(0, 1, 6)], "doc_id long, s long, e long")
+    box = layout.entity_boxes(spans, blocks).first()
+    assert (box["n_blocks"], box["x1"], box["y2"]) == (2, 10.0, 40.0)
+    assert [(r["x1"], r["x2"]) for r in layout.substring_boxes(spans, blocks).orderBy("block").collect()] == [(16.0, 22.0), (10.0, 22.0)]
