@@ -11,7 +11,7 @@ from .passes import run_sql
 
 
 def layout(name: str, blocks: DataFrame) -> DataFrame:
-    """One of merge_blocks, table_rows, table_columns, fill_missing, spatial_zone, horizontal_anchor over ``blocks``."""
+    """One of merge_blocks, table_rows, table_columns, spatial_zone, horizontal_anchor over ``blocks``."""
     sql = getattr(reports, name)(SPARK)
     made = reports.blocks(SPARK)
     sql = sql.replace(f"WITH {made}, ", "WITH ", 1).replace(f"WITH {made} ", "", 1)
@@ -72,3 +72,18 @@ def enhance_by_header(found: DataFrame) -> DataFrame:
 def selected(found: DataFrame, chosen: DataFrame, key: str = "id") -> DataFrame:
     """The matches that a reviewer chose, by their numbers."""
     return found.join(chosen.select(key).distinct(), key, "left_semi")
+
+
+def fill_missing(blocks: DataFrame, found: DataFrame) -> DataFrame:
+    """Cells of two characters or more that stand below a typed header of their column and hold no match, with the header's type at 0.70.
+
+    A page's first line of two blocks or more is its header line; a cell belongs to the header whose centre is within 50 of its own, the nearest,
+    the first by block among equals. ``found`` has the (doc_id, block) of blocks with a match.
+    """
+    centre = (F.col("x1") + F.col("x2")) / 2
+    lines = blocks.groupBy("doc_id", "ln").agg(F.count(F.lit(1)).alias("n")).where("n >= 2").select("doc_id", "ln")
+    top = lines.groupBy("doc_id").agg(F.min("ln").alias("top"))
+    heads = blocks.join(top, "doc_id").where("ln = top").select("doc_id", "top", F.col("block").alias("hb"), centre.alias("hx"), F.expr(reports.header_type(SPARK, "text")).alias("entity_type")).where("entity_type IS NOT NULL")
+    cells = blocks.join(lines, ["doc_id", "ln"]).where("length(text) > 1").join(found.select("doc_id", "block").distinct(), ["doc_id", "block"], "left_anti").withColumn("cx", centre)
+    pairs = cells.join(heads, "doc_id").where("ln > top AND abs(cx - hx) <= 50")
+    return pairs.groupBy("doc_id", "block").agg(F.min(F.struct(F.abs(F.col("cx") - F.col("hx")).alias("far"), "hb", "entity_type")).alias("h")).select("doc_id", "block", F.col("h.entity_type").alias("entity_type"), F.lit(0.70).alias("score"))

@@ -27,7 +27,7 @@ ON_CORPUS = {
     "token_features": T.token_features,
 }
 #: Over the driver's tables.
-ON_TABLES = {n: getattr(R, n) for n in ("mask_columns", "merge_blocks", "table_rows", "table_columns", "header_context", "fill_missing", "spatial_zone", "horizontal_anchor", "threshold_sweep", "optimal_threshold", "ivw_weights", "auto_adjust", "feedback_categories", "dataset_quality", "conversation_pii", "event_windows")}
+ON_TABLES = {n: getattr(R, n) for n in ("mask_columns", "merge_blocks", "table_rows", "table_columns", "header_context", "spatial_zone", "horizontal_anchor", "threshold_sweep", "optimal_threshold", "ivw_weights", "auto_adjust", "feedback_categories", "dataset_quality", "conversation_pii", "event_windows")}
 #: Over detections of the documents.
 ON_DETECTIONS = {n: getattr(R, n) for n in ("pii_by_source", "pii_rollup", "pii_topk_docs")}
 

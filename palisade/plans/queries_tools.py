@@ -135,8 +135,20 @@ def username_person(spark, sf_dir):
     return username_persons(corpus(spark, sf_dir))
 
 
+#: Pages with a table, beside the documents.
+PAGES = ("Name | Phone | Notes\nAnn Lee | 415-555-2671 | call back\nomar | pending | x\n- | 212-555-0143 | ok", "intro\nThe Full Name | City | Total\nzed | rome | 12", "Quantity | Total\n1 | 22")
+CELL_FAMILIES = ("phone", "email", "ip", "card", "person")
+
+
+def fill_missing(spark, sf_dir):
+    pages = spark.createDataFrame([(-1001 - i, x) for i, x in enumerate(PAGES)], "doc_id long, text string")
+    blocks = L.document_blocks(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").unionByName(pages))
+    found = detect(blocks.select(F.struct("doc_id", "block").alias("doc_id"), "text"), CELL_FAMILIES).select("doc_id.doc_id", "doc_id.block")
+    return L.fill_missing(blocks, found)
+
+
 US_CASES = ("US_SSN", "US_PASSPORT", "PERSON", "CUS_X", "US_US_X", "")
-QUERIES = {f.__name__: f for f in (match_normalize, check_match, prf_by_type, feedback_rows, action_items, session_accuracy, threshold_recommendations, run_history, golden_sample, bio_tags, augment_text, entity_boxes, substring_boxes, flip_boxes, header_enhance, selective_save, us_prefix, username_person)} | {"dehyphenate": dehyphenated}
+QUERIES = {f.__name__: f for f in (match_normalize, check_match, prf_by_type, feedback_rows, action_items, session_accuracy, threshold_recommendations, run_history, golden_sample, bio_tags, augment_text, entity_boxes, substring_boxes, flip_boxes, header_enhance, selective_save, us_prefix, username_person, fill_missing)} | {"dehyphenate": dehyphenated}
 
 _KEY = r"trim(regexp_replace(lower(strip_accents(regexp_replace({}, '[​-‏⁠﻿]', '', 'g'))), '[^\p{{L}}\p{{N}}]+', ' ', 'g'))"
 _GOLD = "(VALUES " + ", ".join("({}, '{}', '{}')".format(d, k, v.replace("'", "''")) for d, k, v in GOLD) + ") AS g(doc_id, entity_type, value)"
@@ -156,7 +168,18 @@ _SAMPLES = R.SAMPLES
 _NAMES = lambda xs: "(" + ", ".join(f"'{x.lower()}'" for x in xs) + ")"
 _BEST = f"""SELECT entity_type, min(confidence) FILTER (tp >= 0.90 * total) AS threshold FROM (SELECT a.entity_type, a.confidence, count(*) AS total, count(*) FILTER (b.is_correct) AS tp FROM (SELECT DISTINCT entity_type, confidence FROM {_SAMPLES}) a JOIN {_SAMPLES} b ON a.entity_type = b.entity_type AND b.confidence >= a.confidence GROUP BY 1, 2) GROUP BY entity_type HAVING max(total) >= 10"""
 _DRAW = "cast(('0x' || substring(md5(concat(doc_id, ':{}:1')), 1, 6)) as integer) / 16777216"
+_PAGES = ", ".join("({}, '{}')".format(-1001 - i, x) for i, x in enumerate(PAGES))
+_CLEAN = "trim(regexp_replace(regexp_replace(lower(text), '^(?:the|a|an) ', '', 'g'), '[ ]*(?:number|no[.]?|#|:)[ ]*$', '', 'g'))"
+_FILL = f"""WITH paged AS (SELECT doc_id, text FROM documents UNION ALL SELECT cast(d as bigint), t FROM (VALUES {_PAGES}) AS p(d, t)), {R.blocks(DUCK).replace('FROM documents', 'FROM paged')},
+det AS ({detections_sql(CELL_FAMILIES, "SELECT concat(doc_id, ':', block) AS doc_id, text FROM blocks")}),
+hdr AS (SELECT doc_id, ln, row_number() OVER (PARTITION BY doc_id ORDER BY ln) AS r FROM blocks GROUP BY doc_id, ln HAVING count(*) >= 2),
+words(w, t, o) AS (VALUES {", ".join(f"('{w}', '{t}', {o})" for o, (w, t) in enumerate(R.HEADERS))}),
+clean AS (SELECT b.doc_id, b.block, b.ln, (x1 + x2) / 2 AS hx, {_CLEAN} AS c FROM blocks b JOIN hdr ON hdr.doc_id = b.doc_id AND hdr.ln = b.ln AND hdr.r = 1),
+typed AS (SELECT doc_id, block, ln, hx, coalesce((SELECT first(t ORDER BY o) FROM words WHERE w = c), (SELECT first(t ORDER BY o) FROM words WHERE contains(c, w))) AS kind FROM clean)
+SELECT b.doc_id, b.block, first(h.kind ORDER BY abs((b.x1 + b.x2) / 2 - h.hx), h.block) AS entity_type, 0.7::double AS score FROM blocks b JOIN hdr ON hdr.doc_id = b.doc_id AND hdr.ln = b.ln JOIN typed h ON h.doc_id = b.doc_id AND h.kind IS NOT NULL AND b.ln > h.ln AND abs((b.x1 + b.x2) / 2 - h.hx) <= 50
+WHERE length(b.text) > 1 AND concat(b.doc_id, ':', b.block) NOT IN (SELECT doc_id FROM det) GROUP BY b.doc_id, b.block"""
 SQL = {
+    "fill_missing": _FILL,
     "match_normalize": f"SELECT doc_id, md5({_KEY.format('text')}) AS key_md5 FROM ({corpus_sql()})",
     "check_match": f"WITH {_MATCH} SELECT DISTINCT * FROM pairs",
     "prf_by_type": f"WITH {_MATCH}, {_PRF}",

@@ -111,11 +111,6 @@ def header_context(d: Spark) -> str:
     return f"SELECT x AS header, coalesce({header_type(d, 'x')}, 'none') AS entity_type FROM (VALUES {', '.join(f'({chr(39)}{h}{chr(39)})' for h in HEADER_CASES)}) AS t(x)"
 
 
-def fill_missing(d: Spark) -> str:
-    """Cells of typed table columns that no detection covers: here every cell under a header type that holds no digit is left to fill."""
-    return f"WITH {blocks(d)}, h AS (SELECT doc_id, ln, min(block) AS first FROM blocks GROUP BY doc_id, ln HAVING count(*) >= 2), found AS (SELECT doc_id, block FROM blocks WHERE {d.matches('text', '[0-9]')}) SELECT b.doc_id, b.block, cast(0.70 as double) AS score FROM blocks b JOIN h ON b.doc_id = h.doc_id AND b.ln = h.ln LEFT JOIN found f ON b.doc_id = f.doc_id AND b.block = f.block WHERE f.block IS NULL AND length(b.text) > 1"
-
-
 def spatial_zone(d: Spark) -> str:
     """Detections in the top or bottom twentieth of a page lose 0.40, half of that for types at home in letterheads."""
     return f"""WITH {blocks(d)}, page AS (SELECT doc_id, max(y2) AS height FROM blocks GROUP BY doc_id),
