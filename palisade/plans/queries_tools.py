@@ -80,7 +80,7 @@ def threshold_recommendations(spark, sf_dir):
 
 
 def run_history(spark, sf_dir):
-    runs = spark.read.parquet(f"{sf_dir}/orders.parquet").groupBy(F.date_trunc("day", "o_orderdate").alias("day")).agg(F.count(F.lit(1)).alias("docs"))
+    runs = spark.read.parquet(f"{sf_dir}/orders.parquet").groupBy(F.to_date("o_orderdate").alias("day")).agg(F.count(F.lit(1)).alias("docs"))
     return B.run_history(runs, "day")
 
 
@@ -187,7 +187,7 @@ SQL = {
     "action_items": "SELECT kind, about, n, examples, CASE WHEN n >= CASE kind WHEN 'missed' THEN 2 ELSE 3 END THEN 'high' ELSE 'medium' END AS priority FROM (SELECT kind, about, count(*) AS n, array_to_string(list_sort(list_distinct(list(t)))[1:5], ', ') AS examples FROM (SELECT t, CASE WHEN d = 'CUSTOM' THEN 'missed' ELSE 'false positive' END AS kind, CASE WHEN d = 'CUSTOM' THEN s ELSE d END AS about FROM (VALUES " + ", ".join(f"('{t}', '{d}', '{s}')" for t, d, s in R.FEEDBACK) + ") AS f(t, d, s) WHERE (d = 'CUSTOM') <> (s IN ('', 'CUSTOM'))) GROUP BY 1, 2) WHERE kind = 'missed' OR n >= 2",
     "session_accuracy": f"SELECT entity_type, count(*) AS n, sum(is_correct::int)::bigint AS kept, round(avg(is_correct::int), 6) AS prec, CASE WHEN count(*) >= 5 AND avg(is_correct::int) < 0.7 THEN 'raise' ELSE 'keep' END AS suggestion FROM {_SAMPLES} s GROUP BY entity_type",
     "threshold_recommendations": f"SELECT entity_type, current, threshold, round(threshold - current, 4) AS change FROM (SELECT entity_type, threshold, cast(CASE entity_type " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in R.CURRENT.items()) + f" ELSE 0.65 END as double) AS current FROM ({_BEST})) WHERE abs(round(threshold - current, 4)) > 0.02",
-    "run_history": "SELECT day, docs, row_number() OVER (ORDER BY day DESC) AS age, row_number() OVER (ORDER BY day DESC) > 100 AS archived FROM (SELECT date_trunc('day', o_orderdate) AS day, count(*) AS docs FROM orders GROUP BY 1)",
+    "run_history": "SELECT day, docs, row_number() OVER (ORDER BY day DESC) AS age, row_number() OVER (ORDER BY day DESC) > 100 AS archived FROM (SELECT cast(o_orderdate as date) AS day, count(*) AS docs FROM orders GROUP BY 1)",
     "golden_sample": f"WITH {_SPANS}, r AS (SELECT doc_id, category, difficulty, count(*) OVER (PARTITION BY category) AS total, row_number() OVER (PARTITION BY category ORDER BY difficulty, doc_id) - 1 AS r FROM (SELECT doc_id, CASE WHEN count(DISTINCT entity_type) >= 3 THEN 'MIXED' ELSE min(entity_type) END AS category, round(count(*) + 2 * count(DISTINCT entity_type) + 10 * (1 - min(score)), 4) AS difficulty FROM det GROUP BY doc_id)) SELECT doc_id, category, difficulty FROM r WHERE r = 0 OR (r * 20) // greatest(total, 20) > ((r - 1) * 20) // greatest(total, 20)",
     "bio_tags": f"WITH {_SPANS}, tok AS ({_one(DUCK, TOKENS, 'token', 1.0, TOKENS.patterns[0].regex)}), hit AS (SELECT t.doc_id, t.s, t.value, first(d.s ORDER BY d.s, d.e DESC, d.entity_type) AS ds, first(d.entity_type ORDER BY d.s, d.e DESC, d.entity_type) AS kind FROM tok t LEFT JOIN det d ON t.doc_id = d.doc_id AND t.s < d.e AND d.s < t.e GROUP BY t.doc_id, t.s, t.e, t.value) SELECT doc_id, s, md5(value) AS token_md5, CASE WHEN kind IS NULL THEN 'O' WHEN ds >= s THEN 'B-' || kind ELSE 'I-' || kind END AS tag FROM hit",
     "augment_text": f"SELECT doc_id, md5(CASE WHEN {_DRAW.format('blanks')} < 0.1 THEN replace(t, ' ', '  ') ELSE t END) AS text_md5 FROM (SELECT doc_id, CASE WHEN {_DRAW.format('case')} < 0.1 THEN lower(t) ELSE t END AS t FROM (SELECT doc_id, CASE WHEN {_DRAW.format('marks')} < 0.3 THEN replace(text, ',', '') ELSE text END AS t FROM ({corpus_sql()})))",
