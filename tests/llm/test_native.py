@@ -72,6 +72,29 @@ def test_ledger_scans_only_new_blobs(spark, tmp_path):
     other = (*secret_scan.RULES, secret_scan.Rule("own", "none"))
     assert {r["doc_id"]: len(r["findings"]) for r in secret_scan.scan_secrets(docs(spark, (4, "none")), ledger=path, rules=other).collect()} == {4: 1}
     assert spark.read.parquet(path).count() == 4
+    own = secret_scan.rule_version(other[-1])
+    assert [r["rules"] for r in spark.read.parquet(path).collect() if own in r["rules"]] == [[own]]
+
+
+def test_ledger_rows_written_twice_change_nothing(spark, tmp_path):
+    path = str(tmp_path / "ledger")
+    df = docs(spark, (1, "token=aaaaaaaa"), (2, "token=aaaaaaaa"), (3, None))
+    said = lambda out: sorted((r["doc_id"], r["blob"], [tuple(f) for f in r["findings"]]) for r in out.collect())
+    first = said(secret_scan.scan_secrets(df, ledger=path))
+    rows = spark.read.parquet(path).collect()
+    spark.createDataFrame(rows, secret_scan.LEDGER).write.mode("append").parquet(path)
+    assert spark.read.parquet(path).count() == 4
+    assert said(secret_scan.scan_secrets(df, ledger=path)) == first
+    assert spark.read.parquet(path).count() == 4
+    changed = tuple(secret_scan.Rule(r.kind, r.pattern, r.gate, r.group, 9, r.base) if r.kind == "assign" else r for r in secret_scan.RULES)
+    assert [len(fs) for _, _, fs in said(secret_scan.scan_secrets(df, ledger=path, rules=changed))] == [0, 0, 0]
+    assert said(secret_scan.scan_secrets(df, ledger=path)) == first
+
+
+def test_many_matches(spark):
+    text = "é token=abcdefgh " * 20_000 + "x"
+    found = secret_scan.scan_secrets(docs(spark, (1, text))).first()["findings"]
+    assert [(f["start"], f["rank"], f["kind"], f["end"]) for f in found] == naive(text)
 
 
 def test_sharding(spark, tmp_path):
