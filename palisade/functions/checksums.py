@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from . import national_ids
 from .dialect import Spark
 
 #: The dihedral group D5 and the permutations of its check-digit scheme (fixed values).
@@ -121,6 +122,7 @@ def national_id(d: Spark, x: str, country: str) -> str:
         "PL": f"CASE WHEN {is_digits(11)} THEN {weighted([1, 3, 7, 9, 1, 3, 7, 9, 1, 3, 1])} % 10 = 0 ELSE false END",
         "ES": f"CASE WHEN {d.matches(x, '^[0-9]{8}[A-Z]$')} THEN substring('TRWAGMYFPDXBNJZSQVHLCKE', 1 + cast(substring({x}, 1, 8) as int) % 23, 1) = right({x}, 1) ELSE false END",
     }
+    rules |= national_ids.rules(d, x)
     return f"(CASE {country} " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in rules.items()) + f" ELSE length({x}) >= 6 END)"
 
 
