@@ -103,8 +103,8 @@ def card_valid(d: Spark, x: str) -> str:
     return f"(length({x}) BETWEEN 13 AND 19 AND {luhn(d, x)})"
 
 
-def national_id(d: Spark, x: str, country: str) -> str:
-    """The published check for a country's identity number; for others, six characters or more."""
+def national_ids_of(d: Spark, x: str) -> dict[str, str]:
+    """The published check of each country's identity number."""
 
     def weighted(weights: list[int]) -> str:
         return "(" + " + ".join(f"{w} * {_digit(x, str(i + 1))}" for i, w in enumerate(weights)) + ")"
@@ -122,8 +122,16 @@ def national_id(d: Spark, x: str, country: str) -> str:
         "PL": f"CASE WHEN {is_digits(11)} THEN {weighted([1, 3, 7, 9, 1, 3, 7, 9, 1, 3, 1])} % 10 = 0 ELSE false END",
         "ES": f"CASE WHEN {d.matches(x, '^[0-9]{8}[A-Z]$')} THEN substring('TRWAGMYFPDXBNJZSQVHLCKE', 1 + cast(substring({x}, 1, 8) as int) % 23, 1) = right({x}, 1) ELSE false END",
     }
-    rules |= national_ids.rules(d, x)
-    return f"(CASE {country} " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in rules.items()) + f" ELSE length({x}) >= 6 END)"
+    return rules | national_ids.rules(d, x)
+
+
+def national_id_of(d: Spark, x: str, country: str) -> str:
+    return f"coalesce({national_ids_of(d, x)[country]}, false)"
+
+
+def national_id(d: Spark, x: str, country: str) -> str:
+    """The check of the country that an expression names; for others, six characters or more."""
+    return f"(CASE {country} " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in national_ids_of(d, x).items()) + f" ELSE length({x}) >= 6 END)"
 
 
 def entropy(d: Spark, x: str) -> str:

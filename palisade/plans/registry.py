@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("queries_checks", "queries_spans", "queries_stages", "queries_reports", "queries_tools")
+MODULES = ("queries_checks", "queries_spans", "queries_stages", "queries_reports", "queries_tools", "queries_recognizers")
 
 
 def _all(attribute: str) -> dict:

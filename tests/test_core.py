@@ -218,3 +218,26 @@ def test_line_blocks_and_boxes(spark):
     box = layout.entity_boxes(spans, blocks).first()
     assert (box["n_blocks"], box["x1"], box["y2"]) == (2, 10.0, 40.0)
     assert [(r["x1"], r["x2"]) for r in layout.substring_boxes(spans, blocks).orderBy("block").collect()] == [(16.0, 22.0), (10.0, 22.0)]
+
+
+def test_recognisers_check_what_they_find(spark):
+    from palisade.operators import recognizers as K
+    from palisade.operators.detect import detect
+    from palisade.plans.queries_recognizers import ROWS
+
+    df = spark.createDataFrame([*enumerate(ROWS), (7, None), (8, "")], "doc_id long, text string")
+    urls = {r["value"]: r["score"] for r in K.find_urls(df).collect()}
+    assert urls == {
+        "https://example.com/a?b=1,": 0.95, "www.example.org": 0.92, "example.io": 0.85, "docs.example.co.uk:8080/x": 0.88, "shop.example.xyz": 0.80, "mailto:jane@example.com": 0.85, "ftp://ftp.example.net": 0.95,
+    }
+    dates = {r["value"]: r["parsed"] for r in K.find_dates(df).where("doc_id = 1").collect()}
+    assert dates == {
+        "Jul 13, 2009": "2009-07-13", "13th July 2009": "2009-07-13", "29 February 2012": "2012-02-29", "Sept. 1st 2020": "2020-09-01", "14:30": "14:30:00", "2:45 PM": "14:45:00", "12:05 am": "00:05:00", "23:59:59": "23:59:59",
+    }
+    phones = {(r["value"].strip(), r["region"], r["verdict"]) for r in K.check_phones(detect(df, ("phone",))).collect()}
+    assert {("(415) 555-2671", "US", "valid"), ("+44 20 7946 0958", "GB", "valid")} <= phones
+    assert all(v != "valid" for x, _, v in phones if x.startswith("115-"))
+    ids = {r["value"]: r["verdict"] for r in K.check_ids(detect(df, ("ssn", "national_id"))).collect()}
+    # no country's rule lets 000-12-3457 pass; 000-12-3456 passes the Dutch one, whatever its label says
+    assert (ids["219-09-9999"], ids["000-12-3456"], ids["000-12-3457"]) == ("valid", "valid", "unknown")
+    assert K.find_urls(df.limit(0)).count() == K.find_dates(df.limit(0)).count() == 0
