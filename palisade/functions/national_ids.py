@@ -21,13 +21,13 @@ def rules(d: Spark, x: str) -> dict[str, str]:
         return f"substring({of}, {i}, 1)"
 
     def digit(i: int, of: str = x) -> str:
-        return f"cast({char(i, of)} as int)"
+        return f"try_cast({char(i, of)} as int)"
 
     def weighed(weights, of: str = x, start: int = 1) -> str:
         return "(" + " + ".join(f"{w} * {digit(i, of)}" for i, w in enumerate(weights, start) if w) + ")"
 
     def number(a: int, n: int, of: str = x) -> str:
-        return f"cast(substring({of}, {a}, {n}) as bigint)"
+        return f"try_cast(substring({of}, {a}, {n}) as bigint)"
 
     def when(shape: str, test: str) -> str:
         return f"(CASE WHEN {d.matches(x, shape)} THEN {test} ELSE false END)"
@@ -49,7 +49,7 @@ def rules(d: Spark, x: str) -> dict[str, str]:
     ten = f"substring({x}, 1, 10)"
     often = [f"(length({ten}) - length(replace({ten}, '{k}', '')))" for k in range(10)]
     one_repeats = "(" + " + ".join(f"CASE WHEN {n} > 1 THEN 1 ELSE 0 END" for n in often) + ") = 1 AND " + " AND ".join(f"{n} <= 3" for n in often)
-    sums = d.fold(d.map(d.seq("1", "10"), "i", f"cast(substring({x}, cast(i as int), 1) as int)"), 10, "a", "v", "2 * (CASE WHEN (a + v) % 10 = 0 THEN 10 ELSE (a + v) % 10 END) % 11")
+    sums = d.fold(d.map(d.seq("1", "10"), "i", f"try_cast(substring({x}, cast(i as int), 1) as int)"), 10, "a", "v", "2 * (CASE WHEN (a + v) % 10 = 0 THEN 10 ELSE (a + v) % 10 END) % 11")
     chars = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ"
     odd = "[" + ", ".join(map(str, ITALIAN_DIGITS + ITALIAN_LETTERS)) + "]" if d.name == "duck" else "array(" + ", ".join(map(str, ITALIAN_DIGITS + ITALIAN_LETTERS)) + ")"
     italian = " + ".join(d.at(odd, f"{rank(chars, char(i))} + 1") if i % 2 else f"(CASE WHEN {rank(chars, char(i))} > 9 THEN {rank(chars, char(i))} - 10 ELSE {rank(chars, char(i))} END)" for i in range(1, 16))
@@ -59,16 +59,16 @@ def rules(d: Spark, x: str) -> dict[str, str]:
     mexican = " + ".join(f"{19 - i} * {rank('0123456789ABCDEFGHIJKLMN&OPQRSTUVWXYZ', char(i))}" for i in range(1, 18))
     nit = " + ".join(f"{w} * {digit(15 - i, padded(16))}" for i, w in enumerate(COLOMBIAN))
     rut = weighed((3, 2, 7, 6, 5, 4, 3, 2), padded(9))
-    finnish = f"cast(concat(substring({x}, 1, 6), substring({x}, length({x}) - 3, 3)) as bigint)"
+    finnish = f"try_cast(concat(substring({x}, 1, 6), substring({x}, length({x}) - 3, 3)) as bigint)"
     singapore = f"(({weighed((2, 7, 6, 5, 4, 3, 2), x, 2)} + CASE {char(1)} WHEN 'T' THEN 4 WHEN 'G' THEN 4 WHEN 'M' THEN 3 ELSE 0 END) % 11)"
     turkish = "(" + " + ".join(digit(i) for i in range(1, 11)) + ")"
     return {
         "DE": when("^[1-9][0-9]{10}$", f"{one_repeats} AND (11 - {sums}) % 10 = {digit(11)}"),
-        "FR": when("^[0-9]{5}([0-9]{2}|2[AB])[0-9]{8}$", f"97 - cast({french} as bigint) % 97 = {number(14, 2)}"),
+        "FR": when("^[0-9]{5}([0-9]{2}|2[AB])[0-9]{8}$", f"97 - try_cast({french} as bigint) % 97 = {number(14, 2)}"),
         "IT": f"({when('^[A-Z]{6}[0-9LMNP-V]{2}[ABCDEHLMPRST][0-9LMNP-V]{2}[A-Z][0-9LMNP-V]{3}[A-Z]$', f'({italian}) % 26 = ascii({char(16)}) - 65')} OR {when('^[0-9]{11}$', luhn(d, x))})",
         "BE": when("^[0-9]{11}$", f"(97 - {number(1, 9)} % 97 = {number(10, 2)} OR 97 - (2000000000 + {number(1, 9)}) % 97 = {number(10, 2)})"),
         "AT": when("^[1-9][0-9]{9}$", f"{weighed((3, 7, 9, 0, 5, 8, 4, 2, 1, 6))} % 11 = {digit(4)}"),
-        "SE": when("^([0-9]{2})?[0-9]{10}$", f"{luhn(d, f'right({x}, 10)')} AND {day_of(f'cast(substring({x}, length({x}) - 9, 2) as int)', f'cast(substring({x}, length({x}) - 7, 2) as int)', f'cast(substring({x}, length({x}) - 5, 2) as int)')}"),
+        "SE": when("^([0-9]{2})?[0-9]{10}$", f"{luhn(d, f'right({x}, 10)')} AND {day_of(f'try_cast(substring({x}, length({x}) - 9, 2) as int)', f'try_cast(substring({x}, length({x}) - 7, 2) as int)', f'try_cast(substring({x}, length({x}) - 5, 2) as int)')}"),
         "DK": when("^[0-9]{10}$", day_of(number(5, 2), number(3, 2), number(1, 2))),
         "NO": when("^[0-9]{11}$", f"(11 - {norse1} % 11) % 11 = {digit(10)} AND (11 - {norse2} % 11) % 11 = {digit(11)}"),
         "FI": when("^[0-9]{6}[+A-FU-Y-]?[0-9]{3}[0-9A-Y]$", f"{among('0123456789ABCDEFHJKLMNPRSTUVWXY', f'{finnish} % 31')} = right({x}, 1) AND {day_of(number(5, 2), number(3, 2), number(1, 2))}"),

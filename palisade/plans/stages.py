@@ -169,11 +169,11 @@ def validated(d: Spark, carried: bool = False) -> str:
     """Check digits and number plans raise or lower the score; invalid matches under 0.3 go."""
     digits = C.digits(d, "value")
     compact = f"upper({d.replace('value', '[^A-Za-z0-9]', '')})"
-    phone = f"(length({digits}) BETWEEN 7 AND 15)"
+    phone = "(length(_digits) BETWEEN 7 AND 15)"
     country = "right(locale, 2)"
-    valid = f"CASE WHEN entity_type = 'IBAN_CODE' THEN {C.iban(d, compact)} WHEN entity_type = 'PHONE_NUMBER' THEN {phone} WHEN entity_type = 'CREDIT_CARD' THEN {C.card_valid(d, digits)} WHEN entity_type = 'NATIONAL_ID' THEN {C.national_id(d, compact, country)} WHEN pattern = 'swift_bic_code' THEN {C.bic(d, compact)} ELSE true END"
+    valid = f"CASE WHEN entity_type = 'IBAN_CODE' THEN {C.iban(d, '_compact')} WHEN entity_type = 'PHONE_NUMBER' THEN {phone} WHEN entity_type = 'CREDIT_CARD' THEN {C.card_valid(d, '_digits')} WHEN entity_type = 'NATIONAL_ID' THEN {C.national_id(d, '_compact', country)} WHEN pattern = 'swift_bic_code' THEN {C.bic(d, '_compact')} ELSE true END"
     delta = "CASE WHEN entity_type IN ('IBAN_CODE', 'CREDIT_CARD') THEN CASE WHEN valid THEN 0.15 ELSE -0.3 END WHEN entity_type = 'PHONE_NUMBER' THEN CASE WHEN valid THEN 0.1 ELSE -0.15 END WHEN entity_type = 'NATIONAL_ID' THEN CASE WHEN valid THEN 0.15 ELSE -0.2 END WHEN pattern = 'swift_bic_code' THEN CASE WHEN valid THEN 0.1 ELSE -0.2 END ELSE 0 END"
-    return f"SELECT {KEY}, family, before, after, valid, score FROM (SELECT {KEY}, family, before, after, valid, round(least(cast(1 as double), greatest(cast(0 as double), score + cast({delta} as double))), 4) AS score FROM (SELECT *, {valid} AS valid FROM {_with_locale(d, carried)}) t) u WHERE valid OR score >= 0.3"
+    return f"SELECT {KEY}, family, before, after, valid, score FROM (SELECT {KEY}, family, before, after, valid, round(least(cast(1 as double), greatest(cast(0 as double), score + cast({delta} as double))), 4) AS score FROM (SELECT *, {valid} AS valid FROM (SELECT *, {compact} AS _compact, {digits} AS _digits FROM {_with_locale(d, carried)}) s) t) u WHERE valid OR score >= 0.3"
 
 
 #: Values that are never personal data by themselves (fixed values).
