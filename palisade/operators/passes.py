@@ -10,9 +10,10 @@ from ..functions.text import normalize
 from ..plans import stages
 from ..plans.catalog import Catalog
 from .detect import detect
+from .recognizers import DATES, proven, rescored, web_family
 from .sources import dictionary_families, encoded_spans
 
-PASSES = ("context_boost", "denylist", "locale_boost", "nhs_phone_conflict", "filter_all", "person_inside", "validated", "heuristic_verify", "threshold")
+PASSES = ("context_boost", "denylist", "locale_boost", "nhs_phone_conflict", "filter_all", "rescored", "person_inside", "validated", "heuristic_verify", "threshold")
 
 
 #: Passes that read, or hand on, what ``detect`` carries of the text.
@@ -21,6 +22,8 @@ CARRY = ("context_boost", "denylist", "locale_boost", "nhs_phone_conflict", "fil
 
 def apply(name: str, det: DataFrame, corpus: DataFrame | None = None) -> DataFrame:
     """One pass over detections. ``corpus`` (doc_id, text) is joined by passes that look at whole texts, unless ``det`` carries what they need."""
+    if name == "rescored":
+        return rescored(det)
     make = getattr(stages, name)
     known = {"locale", "geo"} & set(det.columns)
     sql = make(SPARK, True) if known and name in CARRY else make(SPARK)
@@ -55,9 +58,11 @@ def analyze(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", catal
     """
     corpus = numbered(df, id_col, text_col)
     catalog = catalog or Catalog()
-    det = detect(corpus, families, catalog if families else Catalog((*catalog.families, *dictionary_families())), carry=carried(), fields=not families)
+    det = detect(corpus, families, catalog if families else Catalog((*catalog.families, web_family(), DATES, *dictionary_families())), carry=carried(), fields=not families)
     if debug:
         return _trace(det)
+    if not families:
+        det = proven(det)
     for name in PASSES:
         if name == "threshold" and not families:
             det = det.unionByName(encoded_spans(corpus, catalog), allowMissingColumns=True)

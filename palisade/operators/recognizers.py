@@ -58,28 +58,44 @@ def find_urls(df: DataFrame, labels: tuple[str, ...] = LAST_LABELS, id_col: str
     """(doc_id, s, e, value, score): 0.95 with a scheme, 0.92 from ``www.``, 0.88 with a path, 0.85 with a common ending, else 0.80. Mail
     addresses and matches of under four characters are left out. Null and empty texts have none; rows that share an id keep their own."""
     found = detect(df, catalog=Catalog((web_family(labels),)), id_col=id_col, text_col=text_col)
-    v, low = F.col("value"), F.lower("value")
-    common = F.lit(False)
+    return found.where(is_web(F.col("value"))).select("doc_id", "s", "e", "value", web_score(F.col("value")).alias("score"))
+
+
+def is_web(v: Column) -> Column:
+    return (F.length(v) >= 4) & ~(F.contains(v, F.lit("@")) & ~F.lower(v).rlike("^(?:http|ftp|mailto)"))
+
+
+def web_score(v: Column) -> Column:
+    low, common = F.lower(v), F.lit(False)
     for x in COMMON_ENDINGS:
         common = common | low.endswith(x)
-    score = F.when(low.rlike("^(?:https?|ftp)://"), 0.95).when(low.startswith("www."), 0.92).when(v.contains("/"), 0.88).when(common, 0.85).otherwise(0.80)
-    return found.where((F.length(v) >= 4) & ~(v.contains("@") & ~low.rlike("^(?:http|ftp|mailto)"))).select("doc_id", "s", "e", "value", score.alias("score"))
+    return F.when(low.rlike("^(?:https?|ftp)://"), 0.95).when(low.startswith("www."), 0.92).when(v.contains("/"), 0.88).when(common, 0.85).otherwise(0.80)
 
 
 def find_dates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, s, e, value, score, parsed): dates in words that exist, as yyyy-mm-dd, and times of day, as hh:mm:ss."""
     found = detect(df, catalog=Catalog((DATES,)), id_col=id_col, text_col=text_col)
-    v = F.col("value")
+    return found.select("doc_id", "s", "e", "value", "score", date_read(F.col("value"), F.col("pattern")).alias("parsed")).where(F.col("parsed").isNotNull())
+
+
+def date_read(v: Column, pattern: Column) -> Column:
+    """The day or time that a candidate of ``DATES`` names; null where there is none."""
     month = (F.instr(F.lit("janfebmaraprmayjunjulaugsepoctnovdec"), F.lower(F.regexp_extract(v, "(?i)(jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)", 1))) + 2) / 3
     day, year = F.regexp_extract(v, "(?:^|[^0-9])([0-9]{1,2})(?:[^0-9]|$)", 1), F.right(v, F.lit(4))
     date = F.date_format(F.try_to_timestamp(F.concat(year, F.lpad(month.cast("int").cast("string"), 2, "0"), F.lpad(day, 2, "0")), F.lit("yyyyMMdd")), "yyyy-MM-dd")
     h, m, s, half = (F.regexp_extract(v, r"^([0-9]{1,2}):([0-9]{2})(?::([0-9]{2}))?(?:[ \t]?([AaPp])[Mm])?$", i) for i in (1, 2, 3, 4))
-    hour = F.expr("try_cast(regexp_extract(value, '^([0-9]{1,2}):', 1) AS int)")
+    hour = F.when(h != "", h.cast("int"))
     h24 = F.when(half == "", hour).when(hour.between(1, 12), hour % 12 + F.when(F.lower(half) == "p", 12).otherwise(0))
     known = h24.between(0, 23) & (m < "60") & ((s == "") | (s < "60")) & (h != "")
     time = F.when(known, F.concat_ws(":", F.lpad(h24.cast("string"), 2, "0"), m, F.when(s == "", "00").otherwise(s)))
-    read = F.when(F.col("pattern") == "clock", time).otherwise(date)
-    return found.select("doc_id", "s", "e", "value", "score", read.alias("parsed")).where(F.col("parsed").isNotNull())
+    return F.when(pattern == "clock", time).otherwise(date)
+
+
+def proven(found: DataFrame) -> DataFrame:
+    """Rows of a scan without candidates of ``web_family`` and ``DATES`` that are none; those of the web with their score. Others stay as they are."""
+    family, v = F.col("family"), F.col("value")
+    is_one = F.when(family == "web", is_web(v)).when(family == "natural", date_read(v, F.col("pattern")).isNotNull()).otherwise(True)
+    return found.where(is_one).withColumn("score", F.when(family == "web", web_score(v)).otherwise(F.col("score")))
 
 
 def region_of(around: Column) -> Column:
@@ -106,33 +122,53 @@ def _plan(region: Column, value: Column) -> Column:
     return F.when(fits, "valid").when(abroad & F.length(digits).between(7, 15), "possible").otherwise("invalid")
 
 
-def check_phones(found: DataFrame) -> DataFrame:
+def check_phones(found: DataFrame, only: Column | None = None) -> DataFrame:
     """``found`` with region, verdict and a changed score: valid +0.15 to 0.98 at most, possible +0.08 to 0.90 at most, invalid x0.90 where it is
-    spelled like a telephone number, else x0.75. Values of under seven digits keep their score."""
+    spelled like a telephone number, else x0.75. Values of under seven digits keep their score, and so do rows that ``only``, a condition, leaves out."""
     value, score = F.col("value"), F.col("score")
     shaped = F.lit(False)
     for rx in PHONE_SHAPES:
         shaped = shaped | F.trim(value).rlike(rx)
-    some = F.length(F.regexp_replace(value, "[^0-9]", "")) >= 7
-    out = found.withColumn("region", region_of(F.concat("before", "value", "after")))
+    only = F.lit(True) if only is None else only
+    some = only & (F.length(F.regexp_replace(value, "[^0-9]", "")) >= 7)
+    out = found.withColumn("region", F.when(only, region_of(F.concat("before", "value", "after"))))
     out = out.withColumn("verdict", F.when(some, _plan(F.col("region"), value)).otherwise("unknown"))
     verdict = F.col("verdict")
     new = F.when(verdict == "valid", F.least(F.lit(0.98), score + 0.15)).when(verdict == "possible", F.least(F.lit(0.90), score + 0.08)).when(verdict == "invalid", score * F.when(shaped, 0.90).otherwise(0.75)).otherwise(score)
-    return out.withColumn("score", F.round(new, 4))
+    return out.withColumn("score", F.when(only, F.round(new, 4)).otherwise(score))
 
 
 #: Countries whose check an identity number is held against, whatever its text says (fixed values).
 ID_COUNTRIES = ("US", "GB", "DE", "BR", "IT", "ES", "PL", "SE", "NL", "BE")
 
 
-def check_ids(found: DataFrame) -> DataFrame:
+def check_ids(found: DataFrame, only: Column | None = None) -> DataFrame:
     """``found`` with verdict and a changed score: a number of eight digits or more that passes the check of one of ten countries gains 0.15, to
-    0.98 at most; one that passes the general check alone gains 0.08, to 0.95 at most."""
+    0.98 at most; one that passes the general check alone gains 0.08, to 0.95 at most. Rows that ``only`` leaves out keep their score."""
+    only = F.lit(True) if only is None else only
     flat = found.withColumn("_flat", F.regexp_replace(F.upper("value"), "[ \\t.-]", ""))
     many = F.length(F.regexp_replace("value", "[^0-9]", "")) >= 8
     holds = F.lit(False)
     for country in ID_COUNTRIES:
         holds = holds | F.expr(C.national_id_of(SPARK, "_flat", country))
-    verdict = F.when(many & holds, "valid").when(many & F.expr(C.luhn(SPARK, "_flat")), "possible").otherwise("unknown")
+    verdict = F.when(only & many & holds, "valid").when(only & many & F.expr(C.luhn(SPARK, "_flat")), "possible").otherwise("unknown")
     score = F.when(F.col("verdict") == "valid", F.least(F.lit(0.98), F.col("score") + 0.15)).when(F.col("verdict") == "possible", F.least(F.lit(0.95), F.col("score") + 0.08)).otherwise(F.col("score"))
-    return flat.withColumn("verdict", verdict).withColumn("score", F.round(score, 4)).drop("_flat")
+    return flat.withColumn("verdict", verdict).withColumn("score", F.when(only, F.round(score, 4)).otherwise(F.col("score"))).drop("_flat")
+
+
+def rescored(found: DataFrame) -> DataFrame:
+    """The checks of telephone and identity numbers, each on the rows of its type."""
+    kind = F.col("entity_type")
+    return check_ids(check_phones(found, kind == "PHONE_NUMBER").drop("region", "verdict"), kind == "NATIONAL_ID").drop("verdict")
+
+
+def drop_negative(found: DataFrame, words: DataFrame) -> DataFrame:
+    """Rows of ``found`` whose value, without case and outer blanks, is no word of ``words`` (entity_type, word) for its type.
+
+    Words of the type COMMON count for all types but PERSON, those of LOCATION for ADDRESS too. ``words`` is a dictionary, and what is
+    broadcast of it is decided by its size when the query runs. Null values stay.
+    """
+    many = words.select(F.col("entity_type").alias("_kind"), F.lower(F.trim("word")).alias("_word")).dropDuplicates()
+    kind, common = F.col("entity_type"), F.col("_kind") == "COMMON"
+    meant = (F.col("_kind") == kind) | (common & (kind != "PERSON")) | ((kind == "ADDRESS") & (F.col("_kind") == "LOCATION"))
+    return found.join(many, (F.lower(F.trim("value")) == F.col("_word")) & meant, "left_anti")

@@ -41,7 +41,18 @@ def id_check(spark, sf_dir):
     return K.check_ids(detect(_rows(spark, sf_dir), ID_FAMILIES)).select("doc_id", "entity_type", "pattern", "s", "e", "value", "verdict", "score")
 
 
-QUERIES = {f.__name__: f for f in (url_recognize, date_recognize, phone_check, id_check)}
+#: A few words for the query; a dictionary is a parameter of the operator.
+WORDS = (("COMMON", "click"), ("COMMON", "signup"), ("COMMON", "purchase"), ("PERSON", "building"), ("PERSON", "machinery"), ("LOCATION", "household"), ("COMPANY", "automobile"))
+
+
+def negative_words(spark, sf_dir):
+    customers = spark.read.parquet(f"{sf_dir}/customer.parquet")
+    found = customers.selectExpr("c_custkey AS id", "CASE c_custkey % 4 WHEN 0 THEN 'PERSON' WHEN 1 THEN 'LOCATION' WHEN 2 THEN 'ADDRESS' ELSE 'COMPANY' END AS entity_type", "concat(' ', c_mktsegment) AS value")
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").selectExpr("event_id AS id", "CASE event_id % 2 WHEN 0 THEN 'PERSON' ELSE 'COMPANY' END AS entity_type", "event_type AS value")
+    return K.drop_negative(found.unionByName(events), spark.createDataFrame(list(WORDS), "entity_type string, word string"))
+
+
+QUERIES = {f.__name__: f for f in (url_recognize, date_recognize, phone_check, id_check, negative_words)}
 
 _VALUES = ", ".join("({}, '{}')".format(-2001 - i, x.replace("'", "''")) for i, x in enumerate(ROWS))
 _SOURCE = f"{corpus_sql()} UNION ALL SELECT cast(doc_id as bigint), text FROM (VALUES {_VALUES}) AS r(doc_id, text)"
@@ -54,7 +65,11 @@ _FITS = " OR ".join(
 )
 _SHAPED = " OR ".join(f"regexp_matches(trim(value), '{rx}')" for rx in K.PHONE_SHAPES)
 _HOLDS = " OR ".join(C.national_id_of(DUCK, "f", country) for country in K.ID_COUNTRIES)
+_MEANT = " OR ".join(f"(v = '{w}' AND entity_type IN ({', '.join(repr(x) for x in (('LOCATION', 'ADDRESS', 'COMPANY') if k == 'COMMON' else ('LOCATION', 'ADDRESS') if k == 'LOCATION' else (k,)))}))" for k, w in WORDS)
 SQL = {
+    "negative_words": f"""SELECT id, entity_type, value FROM (SELECT *, lower(trim(value)) AS v FROM (
+SELECT c_custkey AS id, ['PERSON', 'LOCATION', 'ADDRESS', 'COMPANY'][c_custkey % 4 + 1] AS entity_type, ' ' || c_mktsegment AS value FROM customer
+UNION ALL SELECT event_id, CASE WHEN event_id % 2 = 0 THEN 'PERSON' ELSE 'COMPANY' END, event_type FROM events)) WHERE NOT ({_MEANT})""",
     "url_recognize": f"""WITH {_CORPUS} SELECT doc_id, s, e, value, CASE WHEN v LIKE 'http://%' OR v LIKE 'https://%' OR v LIKE 'ftp://%' THEN 0.95 WHEN v LIKE 'www.%' THEN 0.92 WHEN contains(v, '/') THEN 0.88 WHEN {' OR '.join(f"ends_with(v, '{x}')" for x in K.COMMON_ENDINGS)} THEN 0.85 ELSE 0.80 END::double AS score
 FROM (SELECT *, lower(value) AS v FROM ({_one(DUCK, _WEB, 'web', 0.8, _WEB.patterns[0].regex)})) WHERE length(value) >= 4 AND (NOT contains(v, '@') OR v LIKE 'http%' OR v LIKE 'ftp%' OR v LIKE 'mailto%')""",
     "date_recognize": f"""WITH {_CORPUS}, c AS ({' UNION ALL '.join(_one(DUCK, K.DATES, p.name, p.score, p.regex) for p in K.DATES.patterns)}),

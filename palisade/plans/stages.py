@@ -125,9 +125,9 @@ def filters(d: Spark) -> dict[str, list[tuple[str, str]]]:
         "BANK_NUMBER": [("length", f"{n_digits} < 8 OR {n_digits} > 17"), ("card", f"{n_digits} >= 15"), ("low", "score < 0.6")],
         "PASSPORT": [("words", f"{letters} > 5"), ("low", "score < 0.7"), ("no passport word", f"score < 0.85 AND {m('passport|travel|document', near)} = false")],
         "DRIVERS_LICENSE": [("short", f"length({v}) < 6"), ("low", "score < 0.7")],
-        "URL": [("at sign", f"{v} LIKE '%@%'"), ("double dot", f"{v} LIKE '%..%'"), ("no host", m("^https?://[^.]+$")), ("tail", m("[.]$"))],
+        "URL": [("bare host", m("^[a-z]+[.][a-z]{2,4}$", f"lower({v})")), ("at sign", f"{v} LIKE '%@%'"), ("double dot", f"{v} LIKE '%..%'"), ("no host", m("^https?://[^.]+$")), ("tail", m("[.]$"))],
         "CREDIT_CARD": [("device", f"{n_digits} = 15 AND {m('^(?:35|86|49|01|45|36|87|46)')}"), ("part of more digits", f"{m('[0-9]$', 'before')} OR {m('^[0-9]', 'after')}")],
-        "MEDICAL": [("address", m("^[0-9A-Fa-f]{2}(?::[0-9A-Fa-f]{2}){5}$")), ("state and code", m("^[A-Z]{2} [0-9]{5}$")), ("abbreviation", m("^[A-Z]{1,3}$"))],
+        "MEDICAL": [("name", f"score < 0.6 AND {m('^[A-Z][a-z]+[ ]+[A-Z][a-z]+$')}"), ("address", m("^[0-9A-Fa-f]{2}(?::[0-9A-Fa-f]{2}){5}$")), ("state and code", m("^[A-Z]{2} [0-9]{5}$")), ("abbreviation", m("^[A-Z]{1,3}$"))],
         "PHONE_NUMBER": [html, ("sixteen digits", f"{n_digits} = 16"), ("address", m("^[0-9]{1,3}(?:[.][0-9]{1,3}){3}$")), ("date", m("^[0-9]{4}-[0-9]{2}-[0-9]{2}$")), ("coordinates", m("^-?[0-9]{1,3}[.][0-9]{4,}$")), ("id word before", m("ssn|social security|passport|license|licence|nhs", "lower(right(before, 30))")), ("weak and alone", f"{m('^[0-9]+$')} AND {m('phone|tel|mobile|cell|fax|call|contact', near)} = false")],
         "IP_ADDRESS": [("version", m("(?i)(?:version|release|build|v) ?$", "right(before, 30)")), ("longer number", f"{m('[0-9][.]$', 'before')} OR {m('^[.][0-9]', 'after')}"), ("all alike", m("^(?:0[.]0[.]0[.]0|1[.]1[.]1[.]1|255[.]255[.]255[.]255)$"))],
         "GENDER": [("other", m("(?i)^other$")), ("compound", m("^-", "after"))],
