@@ -11,6 +11,7 @@ not stored: sequences shorter than ``seq_len`` are padded by whoever reads them.
 
 from __future__ import annotations
 
+import os
 import re
 import zlib
 from collections.abc import Iterator
@@ -26,61 +27,154 @@ PIECES = "start long, length long, ids binary, ids_crc32 long, doc_tokens long,
 #: Rows (one for each file and length) up to which the table of ranks may be broadcast.
 BROADCAST_ROWS = 200_000
 
-#: The vocabulary's own rules, for text in Latin-1: runs of letters, single numerals, contractions, runs of other marks.
-_LETTER = "a-zªµºß-öø-ÿ"
-_NUMERAL = "0-9²³¹¼-¾"
-_WORD = re.compile(f"[{_LETTER}]+|[{_NUMERAL}]|'s|'t|'re|'ve|'m|'ll|'d|[^{_LETTER}{_NUMERAL}]+")
-#: Latin-1 without the four separators that Python alone takes for white space.
-_PLAIN = re.compile("[\x00-\x1b\x20-\xff]*")
+#: Bytes of text that are split into words at once.
+CHUNK = 1 << 22
+#: Longer words are not kept in the table.
+KEPT_BYTES = 64
 
+#: The vocabulary's own rules, for text in Latin-1: 0 white space, 1 letters, 2 numerals, which stand alone, 3 other marks.
+_LETTERS, _NUMERALS = re.compile("[A-Za-zªµºÀ-ÖØ-öø-ÿ]"), re.compile("[0-9²³¹¼-¾]")
+_BLANKS = {*range(9, 14), 0x20, 0x85, 0xA0}
+_KINDS = bytes(0 if b in _BLANKS else 1 if _LETTERS.match(chr(b)) else 2 if _NUMERALS.match(chr(b)) else 3 for b in range(256))
+_LOWER = bytes(ord(chr(b).lower()) for b in range(256))
+_BLANK = re.compile(b"[%s]" % re.escape(bytes(sorted(_BLANKS))))
 
-class _Table(dict):
-    """A table of two generations: when the young one is full it becomes the old one, and what is used again moves over."""
 
-    def __init__(self, most: int, make):
-        super().__init__()
-        self.most, self.make, self.old = most, make, {}
+def split_words(raw: bytes):
+    """Words of lower-case Latin-1 text that ends in two blanks: where each begins, and the words themselves as an Arrow array.
 
-    def __missing__(self, key):
-        value = self.old.get(key)
-        if value is None:
-            value = self.make(key)
-        if len(self) >= self.most:
-            self.old = dict(self)
-            self.clear()
-        self[key] = value
-        return value
+    Words are runs of letters, single numerals, runs of other marks, and 's, 't, 'm, 'd, 're, 've, 'll where no mark stands before them.
+    """
+    import numpy as np
+    import pyarrow as pa
+
+    text = np.frombuffer(raw, np.uint8)
+    kind = np.frombuffer(raw.translate(_KINDS), np.uint8)
+    first = kind == 2
+    first[0] = kind[0] != 0
+    first[1:] |= (kind[1:] != kind[:-1]) & (kind[1:] != 0)
+    at = np.flatnonzero(text == ord("'"))
+    at = at[first[at] & (kind[at + 1] == 1)]  # a mark alone, with a letter after it
+    b, c = text[at + 1], text[at + 2]
+    is_ = lambda x, letters: np.isin(x, np.frombuffer(letters, np.uint8))
+    two = is_(b, b"stmd")
+    three = (is_(b, b"rv") & (c == ord("e"))) | ((b == ord("l")) & (c == ord("l")))
+    first[at[two | three] + 1] = False
+    after = np.concatenate([at[two] + 2, at[three] + 3])
+    first[after[kind[after] == 1]] = True
+    inked = kind != 0
+    edges = np.append(np.flatnonzero(first[inked]), np.count_nonzero(inked)).astype(np.int32)
+    words = pa.Array.from_buffers(pa.binary(), len(edges) - 1, [None, pa.py_buffer(edges), pa.py_buffer(text[inked])])
+    return np.flatnonzero(first), words
 
 
 class WordTokenizer:
-    """Ids of whole texts. The parts of Latin-1 text between white space, and their words, are looked up in tables that the
-    library's own model fills; any other text goes to the library whole."""
+    """Ids of whole texts. The words of Latin-1 text are split by array operations and looked up in a table that the library's own
+    model fills; any other text goes to the library whole. The table has two generations of ``most`` words each: when the young one is full it
+    becomes the old one, and what is used again moves over."""
 
-    def __init__(self, path: str, most: int = 60_000):
+    def __init__(self, path: str, most: int = 100_000):
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(path)
+        self.tokenize = self.whole.model.tokenize
         self.special = tuple(t.content for t in self.whole.get_added_tokens_decoder().values())
         printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
         rest = [b for b in range(256) if b not in printable]
         self.marks = {b: chr(b) for b in printable} | {b: chr(256 + i) for i, b in enumerate(rest)}
-        self.words = _Table(most, self._word)
-        self.parts = _Table(most, self._part)
+        self.most = most
+        self.young: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
 
-    def _word(self, word: str) -> bytes:
-        marks = word.encode().decode("latin-1").translate(self.marks)
-        return b"".join([t.id.to_bytes(4, "little") for t in self.whole.model.tokenize(marks)])
+    def _made(self, words: list[bytes]) -> list[bytes]:
+        """Ids of words that the young table lacks."""
+        import numpy as np
 
-    def _part(self, part: str) -> bytes:
-        return b"".join([self.words[w] for w in _WORD.findall(part)])
+        found = list(map(self.old.get, words))
+        new = [i for i, ids in enumerate(found) if ids is None]
+        flat: list[int] = []
+        ends: list[int] = []
+        for i in new:
+            word = words[i]
+            marks = word.decode() if word.isalnum() else word.decode("latin-1").encode().decode("latin-1").translate(self.marks)
+            flat += [t.id for t in self.tokenize(marks)]
+            ends.append(4 * len(flat))
+        raw = np.array(flat, "<u4").tobytes()
+        for i, a, b in zip(new, [0, *ends], ends):
+            found[i] = raw[a:b]
+        for word, ids in zip(words, found, strict=True):
+            if len(word) <= KEPT_BYTES:
+                if len(self.young) >= self.most:
+                    self.old, self.young = self.young, {}
+                self.young[word] = ids
+        return found
+
+    def _joined(self, texts: list[bytes]) -> list[bytes]:
+        """Ids of lower-case Latin-1 texts."""
+        import numpy as np
+        import pyarrow as pa
 
-    def encode(self, text: str) -> bytes:
-        """Ids as little-endian unsigned 32-bit integers."""
-        if _PLAIN.fullmatch(text) and not any(s in text for s in self.special):
-            return b"".join(map(self.parts.__getitem__, text.lower().split()))
+        begins, words = split_words(b"  ".join(texts) + b"  ")
+        if not len(begins):
+            return [b""] * len(texts)
+        words = words.dictionary_encode()
+        known = words.dictionary.to_numpy(zero_copy_only=False).tolist()
+        ids = list(map(self.young.get, known))
+        lacking = [i for i, x in enumerate(ids) if x is None]
+        for i, x in zip(lacking, self._made([known[i] for i in lacking]), strict=True):
+            ids[i] = x
+        taken = pa.array(ids, pa.large_binary()).take(words.indices)
+        edges = np.frombuffer(taken.buffers()[1], np.int64)
+        flat = memoryview(taken.buffers()[2])
+        bounds = np.cumsum([0, *(len(t) + 2 for t in texts)])
+        at = edges[np.searchsorted(begins, bounds)].tolist()
+        return [bytes(flat[a:b]) for a, b in zip(at, at[1:])]
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text, as little-endian unsigned 32-bit integers."""
         import numpy as np
 
-        return np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        out: list[bytes] = [b""] * len(texts)
+        plain: list[bytes] = []
+        at: list[int] = []
+        for i, text in enumerate(texts):
+            try:
+                raw = None if any(s in text for s in self.special) else text.encode("latin-1").translate(_LOWER)
+            except UnicodeEncodeError:
+                raw = None
+            if raw is None:
+                out[i] = np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+            elif len(raw) > CHUNK:
+                out[i] = b"".join([self._joined([part])[0] for part in _cut(raw)])
+            else:
+                plain.append(raw)
+                at.append(i)
+        for i, ids in zip(at, self._joined(plain) if plain else [], strict=True):
+            out[i] = ids
+        return out
+
+
+def _cut(raw: bytes) -> Iterator[bytes]:
+    """A long text in parts of about ``CHUNK`` bytes, each but the last ending in a blank."""
+    at = 0
+    while at < len(raw):
+        blank = _BLANK.search(raw, min(at + CHUNK, len(raw)))
+        end = blank.end() if blank else len(raw)
+        yield raw[at:end]
+        at = end
+
+
+_coder: tuple | None = None
+
+
+def tokenizer_of(path: str) -> WordTokenizer:
+    """The tokenizer of that file. A worker keeps the last one, whose table has a fixed size, for its next task."""
+    global _coder
+    seen = os.stat(path)
+    key = path, seen.st_mtime_ns, seen.st_size
+    if _coder is None or _coder[0] != key:
+        _coder = key, WordTokenizer(path)
+    return _coder[1]
 
 
 def tokenised_pieces(df: DataFrame, tokenizer_path: str, seq_len: int, end_id: int, id_col: str, text_col: str) -> DataFrame:
@@ -89,18 +183,22 @@ def tokenised_pieces(df: DataFrame, tokenizer_path: str, seq_len: int, end_id: i
     def run(batches: Iterator) -> Iterator:
         import numpy as np
         import pyarrow as pa
+        import pyarrow.compute as pc
         from pyspark import TaskContext
 
         schema = None
-        coder, part = WordTokenizer(tokenizer_path), TaskContext.get().partitionId()
+        coder, part = tokenizer_of(tokenizer_path), TaskContext.get().partitionId()
         seen = np.zeros(seq_len + 1, np.int64)
         end = np.array([end_id], "<u4").tobytes()
         for batch in batches:
             schema = schema or pa.schema([batch.schema.field("doc_id"), ("start", pa.int64()), ("length", pa.int64()), ("ids", pa.binary()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64()), ("part", pa.int32()), ("local_rank", pa.int64())])
-            for at in range(0, batch.num_rows, 250):
-                piece = batch.slice(at, 250)
+            size_of = pc.binary_length(batch.column(1)).to_numpy(zero_copy_only=False)
+            chunk_of = (np.cumsum(size_of, dtype=np.int64) - size_of) // CHUNK  # rows that begin in the same chunk go together
+            cuts = [*np.flatnonzero(np.diff(chunk_of, prepend=-1)).tolist(), batch.num_rows]
+            for at, to in zip(cuts, cuts[1:]):
+                piece = batch.slice(at, to - at)
                 cols: list[list] = [[] for _ in range(8)]
-                for doc_id, raw in zip(piece.column(0).to_pylist(), map(coder.encode, piece.column(1).to_pylist()), strict=True):
+                for doc_id, raw in zip(piece.column(0).to_pylist(), coder.encode(piece.column(1).to_pylist()), strict=True):
                     raw += end
                     n = len(raw) // 4
                     for start in range(0, n, seq_len):

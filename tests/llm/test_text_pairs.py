@@ -153,6 +153,45 @@ def test_packing_round_trip(spark):
     assert packing.pack(spark.createDataFrame([], "doc_id long, text string"), tokenizer_path()).count() == 0
 
 
+def test_words_agree_with_the_library(monkeypatch):
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(tokenizer_path())
+    rng = random.Random(5)
+    marks = ["'", "'", "'s", "'t", "'re", "'ve", "'ll", "'d", "'m", "'r", "'l", " ", "a", "e", "s", "it", "DON", "7", "!", "-", "\n"]
+    texts = [chr(b) for b in range(256)] + [f"a{chr(b)}b" for b in range(256)] + [f"a {chr(b)}'s{chr(b)} 7" for b in range(256)]
+    texts += ["".join(rng.choices(marks, k=rng.randrange(12))) for _ in range(3000)]
+    texts += ["".join(chr(rng.randrange(256)) for _ in range(rng.randrange(30))) for _ in range(3000)]
+    texts += ["Ω 'tis", "caf\u0065\u0301", "x<|startoftext|>y", "", " ", "'", "'r", "'s", "\x85", "w" * 200]
+    want = [np.array(library.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    coder = packing.WordTokenizer(tokenizer_path(), most=50)
+    assert coder.encode(texts) == want and coder.encode(texts) == want
+    assert [coder.encode([t])[0] for t in texts[-40:]] == want[-40:] and coder.encode([]) == []
+    monkeypatch.setattr(packing, "CHUNK", 20)  # longer texts are cut at blanks
+    assert coder.encode(texts) == want
+
+
+def test_a_word_goes_to_the_model_once(monkeypatch):
+    """However many stand between its repeats, and whatever mark stands beside it; tables of parts and words asked again for most of them."""
+    coder = packing.WordTokenizer(tokenizer_path(), most=100)
+    asked, model = [], coder.whole.model
+    monkeypatch.setattr(coder, "tokenize", lambda word: asked.append(word) or model.tokenize(word))
+    words = ["".join(chr(97 + i // 26**k % 26) for k in range(3)) for i in range(500)]
+    texts = [" ".join(w + mark for w in words) for mark in (",", ".", "", "?", "'s")]
+    coder.encode(texts)
+    assert sorted(asked) == sorted([*words, ",", ".", "?", "'s"])
+    assert packing.tokenizer_of(tokenizer_path()) is packing.tokenizer_of(tokenizer_path())  # from task to task
+
+
+def test_long_texts_are_encoded_in_chunks(spark, monkeypatch):
+    monkeypatch.setattr(packing, "CHUNK", 100)
+    texts = ["one two, three " * n for n in (1, 40, 3, 0, 90, 2)]
+    rows = [(i, t) for i, t in enumerate(texts)]
+    want = {i: len(texts[i].split()) + texts[i].count(",") + 1 for i, _ in rows}
+    out = packing.pack(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1), tokenizer_path()).collect()
+    assert {r["doc_id"]: r["doc_tokens"] for r in out} == want
+
+
 def test_packing_keeps_any_id(spark):
     df = spark.createDataFrame([("a", "one two"), (None, "three"), ("b", None)], "doc_id string, text string")
     out = packing.pack(df, tokenizer_path())
