@@ -28,7 +28,7 @@ PIECES = "start long, length long, ids binary, ids_crc32 long, doc_tokens long,
 BROADCAST_ROWS = 200_000
 
 #: Bytes of text that are split into words at once.
-CHUNK = 1 << 22
+CHUNK = 1 << 20
 #: Longer words are not kept in the table.
 KEPT_BYTES = 64
 
@@ -73,7 +73,7 @@ class WordTokenizer:
     model fills; any other text goes to the library whole. The table has two generations of ``most`` words each: when the young one is full it
     becomes the old one, and what is used again moves over."""
 
-    def __init__(self, path: str, most: int = 100_000):
+    def __init__(self, path: str, most: int = 60_000):
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(path)
