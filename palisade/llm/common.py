@@ -121,6 +121,11 @@ def _bit(key: Column, bits: int) -> Column:
     return F.pmod(F.xxhash64(key), F.lit(1 << bits))
 
 
+def bitmap_bits(n: int, most: int = 26) -> int:
+    """Bits of a bitmap for ``n`` keys: eight for each key and one block at least, ``2**most`` (8 MB) at most."""
+    return min(max((8 * n).bit_length(), BLOCK_BITS.bit_length() - 1), most)
+
+
 def key_bitmap(keys: DataFrame, key: str, bits: int = 23) -> DataFrame:
     """A Bloom filter of one hash over ``keys[key]``: rows (block, bitmap).
 

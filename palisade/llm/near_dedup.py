@@ -17,6 +17,9 @@ No group is expanded into all its pairs:
     those members of other components for which the bound allows one. That makes the result that of all pairs of candidates.
 Which runs are shared is kept in a table of counters of fixed size, in which two runs may meet; that loosens the bound and loses nothing.
 
+Signatures and bags are large beside ids and keys. Before they are shuffled, a broadcast bitmap of the ids or keys asked for leaves out the
+rows that nothing can meet; what it lets through by chance finds no partner in the join that follows.
+
 Null and empty texts, and those without words, are never linked: each is its own class. Rows that repeat an id with the same words are
 copies of it. Extra columns are not read.
 """
@@ -28,7 +31,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import arrow_rows, free_name, key_bitmap, materialise, text_of, tidy, with_hit
+from .common import arrow_rows, bitmap_bits, free_name, key_bitmap, materialise, text_of, tidy, with_hit
 from .words import in_chunks, mix, shingle_hashes, small_batches, word_hashes
 
 BANDS, ROWS, SHINGLE, THRESHOLD = 25, 5, 5, 0.8
@@ -157,8 +160,14 @@ def similarity(a: bytes, b: bytes) -> float:
     return both / (int(m.sum()) + int(n.sum()) - both)
 
 
+def _among(rows: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
+    """The rows whose ``key`` is in ``wanted``, a written table of one column, and by chance some others. Nothing of ``rows`` is shuffled."""
+    bits, hit = bitmap_bits(wanted.count()), free_name(rows, "_hit")
+    return with_hit(rows, key, key_bitmap(wanted, wanted.columns[0], bits), hit, bits).where(F.col(hit)).drop(hit)
+
+
 def verified(pairs: DataFrame, bags: DataFrame, threshold: float) -> DataFrame:
-    """The pairs (a, b) whose similarity reaches the threshold. Totals alone rule out many before a bag is read."""
+    """The pairs (a, b) whose similarity reaches the threshold. Totals alone rule out many before a bag is read, and only bags of the others move."""
 
     def linked(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -167,11 +176,11 @@ def verified(pairs: DataFrame, bags: DataFrame, threshold: float) -> DataFrame:
             yes = [similarity(x, y) >= threshold for x, y in zip(batch.column("ba").to_pylist(), batch.column("bb").to_pylist(), strict=True)]
             yield batch.select(["a", "b"]).filter(pa.array(yes, pa.bool_()))
 
-    left = bags.select(F.col("rep").alias("a"), F.col("bag").alias("ba"))
-    right = bags.select(F.col("rep").alias("b"), F.col("bag").alias("bb"))
     size = bags.select(F.col("rep").alias("b"), F.col("total").alias("tb"))
     near = pairs.join(bags.select(F.col("rep").alias("a"), F.col("total").alias("ta")), "a").join(size, "b")
-    near = near.where(F.least("ta", "tb") >= threshold * F.greatest("ta", "tb")).select("a", "b")
+    near = materialise(near.where(F.least("ta", "tb") >= threshold * F.greatest("ta", "tb")).select("a", "b"), "near-pairs")
+    left = _among(bags, "rep", near.select("a")).select(F.col("rep").alias("a"), F.col("bag").alias("ba"))
+    right = _among(bags, "rep", near.select("b")).select(F.col("rep").alias("b"), F.col("bag").alias("bb"))
     both = near.join(right, "b").join(left, "a")
     return both.select("a", "b", "ba", "bb").mapInArrow(tidy(linked), "a long, b long")
 
@@ -294,11 +303,11 @@ def near_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", t
     signed = materialise(signatures(rows, bands, band_rows, n), "near-signatures")
     # 1. Texts with the same words: one row stands for all. Rows without words stand for themselves.
     reps = materialise(signed.where("words is not null").groupBy("words").agg(F.min("rid").alias("rep"), F.count(F.lit(1)).alias("copies")), "near-reps")
-    stand = signed.select("rid", "hash", "bands").join(reps.select("rep"), F.col("rid") == F.col("rep"))
+    stand = _standing(signed.where("words is not null"), reps)
     spread = stand.select("rep", F.explode("bands").alias("key"))
     buckets = spread.groupBy("key").agg(F.count(F.lit(1)).alias("members"), F.min("rep").alias("least"))
     buckets = materialise(buckets.where("members > 1").drop("members"), "near-buckets")
-    members = materialise(spread.join(buckets, "key"), "near-members")
+    members = materialise(_among(spread, "key", buckets.select("key")).join(buckets, "key"), "near-members")
     wanted = stand.select("rep", "hash").join(members.select("rep").distinct(), "rep", "left_semi")
     bags = materialise(multisets(_texts(df.select(F.unhex(F.md5(text)).alias("hash"), text.alias("text")), materialise(wanted, "near-wanted")), n), "near-bags")
     # 2. Every member against the least of its bucket.
@@ -308,7 +317,7 @@ def near_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", t
     label = components(edges)
     # 3. Against the most central member of buckets that hold several components.
     open_ = _open(members, label)
-    shares = materialise(shared_runs(bags.join(open_.select("rep").distinct(), "rep", "left_semi")), "near-shares")
+    shares = materialise(shared_runs(_among(bags, "rep", materialise(open_.select("rep").distinct(), "near-open"))), "near-shares")
     open_ = open_.join(shares, "rep").where(F.col("common") >= threshold * F.col("total"))
     open_ = materialise(open_, "near-open")
     central = materialise(open_.groupBy("key").agg(F.max_by("rep", F.col("common") / F.col("total") - F.col("rep") * 1e-18).alias("other")), "near-central")
@@ -341,6 +350,17 @@ def near_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", t
     )
 
 
+def _standing(signed: DataFrame, reps: DataFrame) -> DataFrame:
+    """(rep, hash, bands) of the rows that stand for their words. Only rows whose words may repeat are shuffled."""
+    copied = reps.where("copies > 1").select("words")
+    bits = bitmap_bits(copied.count())
+    bitmap = key_bitmap(copied, "words", bits)
+    seen = with_hit(signed.select("rid", "hash", "bands", "words"), "words", bitmap, "hit", bits)
+    some = with_hit(reps.select("rep", "words"), "words", bitmap, "hit", bits).where("hit").select("rep")
+    first = seen.where("hit").join(some, F.col("rid") == F.col("rep"), "left_semi")
+    return seen.where("not hit").unionByName(first).select(F.col("rid").alias("rep"), "hash", "bands")
+
+
 def _texts(rows: DataFrame, wanted: DataFrame) -> DataFrame:
     """(rep, text) for the hashes of ``wanted``; texts of other rows are not shuffled, and copies are merged before they are."""
     hits = with_hit(rows, "hash", key_bitmap(wanted, "hash"), "hit").where("hit").drop("hit").dropDuplicates(["hash"])

@@ -76,6 +76,42 @@ def test_classes_are_the_components(spark):
     assert near_dedup.near_groups(df.limit(0)).count() == 0
 
 
+def test_only_bags_of_pairs_are_shuffled(spark):
+    """Signatures and bags move where a pair asks for them and nowhere else; without broadcast joins, as on large tables."""
+    import time
+
+    rng = random.Random(9)
+    vocab = ["w%d" % i for i in range(5000)]
+    rows = []
+    for i in range(240):
+        words = rng.choices(vocab, k=300)
+        other = list(words)
+        for k in range(0, 1 if i < 200 else 300, 20):  # the last ones share most bands' buckets and are below the threshold
+            other[k] = "new"
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(other))]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+
+    def moved():
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+        time.sleep(0.3)
+        spark.range(1).count()
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+        found = spark.sparkContext._jsc.sc().statusStore().executorList(True)
+        return sum(found.apply(i).totalShuffleWrite() for i in range(found.size()))
+
+    small = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        before = moved()
+        out = near_dedup.near_groups(df).collect()
+        after = moved()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", small)
+    assert sorted((r["doc_id"], r["class_id"]) for r in out if r["doc_id"] < 400) == [(k, k - k % 2) for k in range(400)]
+    bytes_of_bags = 12 * sum(len(bag(t)) for _, t in rows)
+    assert after - before < 4 * bytes_of_bags, (after - before, bytes_of_bags)
+
+
 def test_smith_waterman():
     def plain(a, b):
         h = np.zeros((len(a) + 1, len(b) + 1))
