@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.dialect import SPARK
 from ..plans import reports
+from .detect import unmatched
 from .passes import run_sql
 
 
@@ -74,16 +75,30 @@ def selected(found: DataFrame, chosen: DataFrame, key: str = "id") -> DataFrame:
     return found.join(chosen.select(key).distinct(), key, "left_semi")
 
 
-def fill_missing(blocks: DataFrame, found: DataFrame) -> DataFrame:
-    """Cells of two characters or more that stand below a typed header of their column and hold no match, with the header's type at 0.70.
+def header_cells(blocks: DataFrame) -> DataFrame:
+    """Cells of two characters or more that stand below a typed header of their column: doc_id, block, text, entity_type.
 
-    A page's first line of two blocks or more is its header line; a cell belongs to the header whose centre is within 50 of its own, the nearest,
-    the first by block among equals. ``found`` has the (doc_id, block) of blocks with a match.
+    A page's first line of two blocks or more is its header line; a cell, of another such line, belongs to the header whose centre is within 50 of
+    its own, the nearest, the first by block among equals. One shuffle by page brings lines and headers together.
     """
-    centre = (F.col("x1") + F.col("x2")) / 2
-    lines = blocks.groupBy("doc_id", "ln").agg(F.count(F.lit(1)).alias("n")).where("n >= 2").select("doc_id", "ln")
-    top = lines.groupBy("doc_id").agg(F.min("ln").alias("top"))
-    heads = blocks.join(top, "doc_id").where("ln = top").select("doc_id", "top", F.col("block").alias("hb"), centre.alias("hx"), F.expr(reports.header_type(SPARK, "text")).alias("entity_type")).where("entity_type IS NOT NULL")
-    cells = blocks.join(lines, ["doc_id", "ln"]).where("length(text) > 1").join(found.select("doc_id", "block").distinct(), ["doc_id", "block"], "left_anti").withColumn("cx", centre)
-    pairs = cells.join(heads, "doc_id").where("ln > top AND abs(cx - hx) <= 50")
-    return pairs.groupBy("doc_id", "block").agg(F.min(F.struct(F.abs(F.col("cx") - F.col("hx")).alias("far"), "hb", "entity_type")).alias("h")).select("doc_id", "block", F.col("h.entity_type").alias("entity_type"), F.lit(0.70).alias("score"))
+    cells = F.array_sort(F.collect_list(F.struct("block", "text", ((F.col("x1") + F.col("x2")) / 2).alias("x"))))
+    lines = blocks.where("doc_id IS NOT NULL").repartition("doc_id").groupBy("doc_id", "ln").agg(cells.alias("cells")).where("size(cells) >= 2")
+    page = Window.partitionBy("doc_id")
+    typed = f"filter(transform(cells, c -> named_struct('x', c.x, 'block', c.block, 'kind', {reports.header_type(SPARK, 'c.text')})), h -> h.kind IS NOT NULL)"
+    lines = lines.withColumn("top", F.min("ln").over(page)).withColumn("heads", F.when(F.col("ln") == F.col("top"), F.expr(typed)))
+    below = lines.withColumn("heads", F.max("heads").over(page)).where("ln > top AND size(heads) > 0")
+    near = "array_min(transform(filter(heads, h -> abs(c.x - h.x) <= 50), h -> named_struct('far', abs(c.x - h.x), 'block', h.block, 'kind', h.kind)))"
+    rows = below.select("doc_id", "heads", F.explode("cells").alias("c")).where("length(c.text) > 1").select("doc_id", "c", F.expr(near).alias("head"))
+    return rows.where("head IS NOT NULL").select("doc_id", F.col("c.block").alias("block"), F.col("c.text").alias("text"), F.col("head.kind").alias("entity_type"))
+
+
+def fill_missing(blocks: DataFrame, found: DataFrame) -> DataFrame:
+    """``header_cells`` that hold no match, with the header's type at 0.70. ``found`` has the (doc_id, block) of blocks with a match."""
+    return header_cells(blocks).join(found.select("doc_id", "block").distinct(), ["doc_id", "block"], "left_anti").select("doc_id", "block", "entity_type", F.lit(0.70).alias("score"))
+
+
+def fill_documents(documents: DataFrame, families: tuple[str, ...]) -> DataFrame:
+    """``fill_missing`` for plain documents (doc_id, text), where patterns are sought in the cells below typed headers only. A page without
+    " | " has no line of two blocks."""
+    cells = header_cells(document_blocks(documents.where(F.contains("text", F.lit(" | ")))))
+    return unmatched(cells, families).select("doc_id", "block", "entity_type", F.lit(0.70).alias("score"))

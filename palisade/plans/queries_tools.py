@@ -142,9 +142,8 @@ CELL_FAMILIES = ("phone", "email", "ip", "card", "person")
 
 def fill_missing(spark, sf_dir):
     pages = spark.createDataFrame([(-1001 - i, x) for i, x in enumerate(PAGES)], "doc_id long, text string")
-    blocks = L.document_blocks(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").unionByName(pages))
-    found = detect(blocks.select(F.struct("doc_id", "block").alias("doc_id"), "text"), CELL_FAMILIES).select("doc_id.doc_id", "doc_id.block")
-    return L.fill_missing(blocks, found)
+    documents = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").unionByName(pages)
+    return L.fill_documents(documents, CELL_FAMILIES)
 
 
 US_CASES = ("US_SSN", "US_PASSPORT", "PERSON", "CUS_X", "US_US_X", "")

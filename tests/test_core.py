@@ -241,3 +241,33 @@ def test_recognisers_check_what_they_find(spark):
     # no country's rule lets 000-12-3457 pass; 000-12-3456 passes the Dutch one, whatever its label says
     assert (ids["219-09-9999"], ids["000-12-3456"], ids["000-12-3457"]) == ("valid", "valid", "unknown")
     assert K.find_urls(df.limit(0)).count() == K.find_dates(df.limit(0)).count() == 0
+
+
+def test_debug_scans_once_and_keeps_every_step(spark):
+    from pyspark.sql import functions as F
+
+    from palisade.operators.detect import detect as scan
+    from palisade.operators.passes import PASSES, apply, carried, fence, numbered
+
+    df, families = rows(spark, *CASES), ("phone", "card", "nhs")
+    out = analyze(df, families=families, debug=True)
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+    got = {(r["doc_id"], r["pattern"], r["s"], r["e"]): r for r in out.collect()}
+    det = scan(numbered(df), families, carry=carried())
+    for name in PASSES[:5]:
+        det = apply(name, fence(det, name))
+        want = {(r["doc_id"]["id"], r["pattern"], r["s"], r["e"]): r["score"] for r in det.groupBy("doc_id", "pattern", "s", "e").agg(F.max("score").alias("score")).collect()}
+        assert {k: r[name] for k, r in got.items() if r[name] is not None} == want, name
+    assert any(r["filter_all"] is None for r in got.values())
+
+
+def test_cells_below_headers_are_sought_first(spark):
+    from palisade.plans.queries_tools import CELL_FAMILIES, PAGES
+
+    texts = [*PAGES, "Phone | x\n1 | 22 | 333\n\n2 |  | 415-555-2671\nlone", "no table", None, "a | b", "Name | City\nAnn | Rome"]
+    blocks = layout.document_blocks(rows(spark, *texts))
+    found = detect(blocks.selectExpr("struct(doc_id, block) AS doc_id", "text"), CELL_FAMILIES).select("doc_id.doc_id", "doc_id.block")
+    want = sorted(map(tuple, layout.fill_missing(blocks, found).collect()))
+    out = layout.fill_documents(rows(spark, *texts), CELL_FAMILIES)
+    assert sorted(map(tuple, out.collect())) == want and (0, 2000000000, "PERSON", 0.7) in want and len(want) >= 5
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("LocalRelation") + out._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD") == 1
