@@ -10,9 +10,10 @@ from ..operators import feedback as B
 from ..operators import layout as L
 from ..operators.detect import detect
 from ..operators.persons import dehyphenate, strip_us_prefix, username_persons
+from ..operators.tokens import tagged
 from . import dictionaries as dic
 from . import reports as R
-from .catalog import Catalog, Family, Pattern
+from .catalog import Family, Pattern
 from .fixtures import CASES, corpus, corpus_sql, values
 from .queries_spans import _one, detections_sql
 
@@ -89,8 +90,7 @@ def golden_sample(spark, sf_dir):
 
 
 def bio_tags(spark, sf_dir):
-    tokens = detect(corpus(spark, sf_dir), catalog=Catalog((TOKENS,)))
-    return B.bio_tags(tokens, _spans(spark, sf_dir)).select("doc_id", "s", F.md5("token").alias("token_md5"), "tag")
+    return tagged(corpus(spark, sf_dir), SPANNED).select("doc_id", "s", F.md5("token").alias("token_md5"), "tag")
 
 
 def augment_text(spark, sf_dir):

@@ -271,3 +271,51 @@ def test_cells_below_headers_are_sought_first(spark):
     out = layout.fill_documents(rows(spark, *texts), CELL_FAMILIES)
     assert sorted(map(tuple, out.collect())) == want and (0, 2000000000, "PERSON", 0.7) in want and len(want) >= 5
     assert out._jdf.queryExecution().optimizedPlan().toString().count("LocalRelation") + out._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD") == 1
+
+ODD = ("Hello\rWorld Hello\r x", "", None, "  é@É  Àb AB1\tñandú\n", "中文 a　b 😀😀 X", " \n\t", "ABC", "jane@example.com\r10.0.0.1,jane@example.com x10.0.0.2")
+
+
+def _duck(sql, texts):
+    import duckdb
+
+    c = duckdb.connect()
+    c.execute("CREATE TABLE corpus AS SELECT unnest(range(len(x)))::BIGINT AS doc_id, unnest(x) AS text FROM (SELECT ?::VARCHAR[] AS x)", [list(texts)])
+    return sorted(c.execute(sql).fetchall())
+
+
+def test_token_features_equal_their_sql(spark):
+    from palisade.functions.dialect import DUCK
+    from palisade.functions.text import token_features as sql
+    from palisade.operators.tokens import token_features
+
+    texts = [*ODD, *CASES]
+    out = token_features(rows(spark, *texts))
+    assert sorted(map(tuple, out.collect())) == _duck(sql(DUCK), texts)
+    assert token_features(rows(spark, "").limit(0)).count() == 0
+
+
+def test_tags_in_the_scan_equal_those_by_join(spark):
+    from palisade.operators.feedback import bio_tags
+    from palisade.operators.tokens import tagged
+    from palisade.plans.queries_tools import SPANNED, TOKENS
+
+    df = rows(spark, *ODD, *CASES)
+    want = bio_tags(detect(df, catalog=Catalog((TOKENS,))), detect(df, SPANNED))
+    out = tagged(df, SPANNED)
+    assert sorted(map(tuple, out.collect())) == sorted(map(tuple, want.collect()))
+    assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString()
+    assert {r["tag"][:2] for r in out.collect()} == {"O", "B-", "I-"}
+
+
+def test_locale_equals_its_sql(spark):
+    from palisade.functions.dialect import DUCK
+    from palisade.operators.passes import apply
+    from palisade.plans import stages
+
+    letters = "abc" * 33 + "d"
+    marks = ("", "und", "STRASSE straße", "être", "AVOIR", "c'est", "está", "Ñ ñ", "não", "não você", "è che", "ij het", "ij van", "colour", "£", "ß")
+    texts = [*ODD, *(f"{letters}{x} {m}" for x in ("", "e") for m in marks), "の", "的" * 50, "的" * 51, "가", "б" * 50, "б" * 51, "б" * 51 + "Є", "ب" * 51, "x" * 5000 + "б" * 60, "1\n" * 2450 + "a" * 101 + " und"]
+    df = rows(spark, *[x for x in texts if x is not None])
+    assert sorted(map(tuple, apply("locale_detect", df, df).collect())) == _duck(stages.locale_detect(DUCK), [x for x in texts if x is not None])
+    lazy = df.selectExpr("doc_id", f"{stages.locale_of(stages.Spark())} AS locale")._jdf.queryExecution().optimizedPlan().toString()
+    assert lazy.count("lower(") == 1
