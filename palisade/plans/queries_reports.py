@@ -8,6 +8,7 @@ from ..functions import text as T
 from ..functions.dialect import DUCK, SPARK
 from ..operators.detect import detect
 from ..operators.passes import run_sql
+from ..operators.tokens import token_features
 from . import reports as R
 from .fixtures import corpus, corpus_sql
 from .queries_spans import detections_sql
@@ -92,6 +93,7 @@ def normalize_nfkc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {n: _corpus(m) for n, m in ON_CORPUS.items()} | {n: _tables(m) for n, m in ON_TABLES.items()} | {n: _detections(m) for n, m in ON_DETECTIONS.items()}
+QUERIES["token_features"] = lambda spark, sf_dir: token_features(corpus(spark, sf_dir))
 QUERIES |= {"person_vote": person_vote, "column_profile": column_profile, "recognizer_registry": registry, "normalize_nfkc": normalize_nfkc}
 SQL = {n: f"WITH corpus AS ({corpus_sql()}) {m(DUCK)}" for n, m in ON_CORPUS.items()} | {n: m(DUCK) for n, m in ON_TABLES.items()}
 SQL |= {n: _merged_with(m(DUCK), det=detections_sql(None, DOCUMENTS)) for n, m in ON_DETECTIONS.items()}
