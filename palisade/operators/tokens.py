@@ -9,24 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.catalog import Catalog
-from .detect import ROWS, _matches
-
-#: Bytes of text that are cut at once; a longer text is cut alone.
-BYTES = 1 << 21
-
-
-def _parts(batch) -> Iterator:
-    """Slices of a batch (key, text) of at most ``ROWS`` rows and about ``BYTES`` bytes."""
-    import numpy as np
-    import pyarrow.compute as pc
-
-    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False))
-    at = 0
-    while at < batch.num_rows:
-        before = ends[at - 1] if at else 0
-        n = max(1, min(ROWS, int(np.searchsorted(ends, before + BYTES, side="right")) - at))
-        yield batch.slice(at, n)
-        at += n
+from .detect import _matches, _parts
 
 
 class _Cut:
@@ -79,7 +62,7 @@ def token_features(df: DataFrame) -> DataFrame:
         import pyarrow as pa
 
         for batch in batches:
-            for part in _parts(batch):
+            for part in _parts(batch, batch.column(1)):
                 cut = _Cut(part.column(1), b" \t\n")
                 if not len(cut.start):
                     continue
@@ -123,7 +106,7 @@ def tagged(df: DataFrame, families: tuple[str, ...] | None = None, catalog: Cata
         import pyarrow as pa
 
         for batch in batches:
-            for part in _parts(batch):
+            for part in _parts(batch, batch.column(1)):
                 texts = part.column(1)
                 cut = _Cut(texts, b" \t\r\n")
                 if not len(cut.start):

@@ -319,3 +319,33 @@ def test_locale_equals_its_sql(spark):
     assert sorted(map(tuple, apply("locale_detect", df, df).collect())) == _duck(stages.locale_detect(DUCK), [x for x in texts if x is not None])
     lazy = df.selectExpr("doc_id", f"{stages.locale_of(stages.Spark())} AS locale")._jdf.queryExecution().optimizedPlan().toString()
     assert lazy.count("lower(") == 1
+
+
+def test_nfkc_leaves_the_other_characters_alone(spark):
+    """Characters that stay in the JVM are not changed, not reordered and join no other; and what leaves it is normalised as a whole."""
+    import re
+    import sys
+    import unicodedata
+
+    from palisade.functions.text import UNSTABLE, normalize
+
+    chars = [chr(i) for i in range(sys.maxunicode + 1) if not 0xD800 <= i <= 0xDFFF]
+    pairs = [x.split(" ") for x in map(unicodedata.decomposition, chars)]
+    seconds = {chr(int(p[1], 16)) for p in pairs if len(p) == 2 and p[0][:1] != "<"} | {chr(i) for i in range(0x1161, 0x1200)}
+    stays = [c for c in chars if not re.search(UNSTABLE, c)]
+    assert len(stays) > 30000 and all(unicodedata.normalize("NFKC", c) == c and not unicodedata.combining(c) and c not in seconds for c in stays)
+    df = rows(spark, "déjà – “ñ”", "ﬁne", "é", "가", "x²", "が", None)
+    assert {r["doc_id"]: r["text"] for r in normalize(df).collect()} == {0: "déjà - “ñ”", 1: "fine", 2: "é", 3: "가", 4: "x2", 5: "が", 6: None}
+    evaluated = normalize(df).selectExpr("text")._jdf.queryExecution().executedPlan().toString()
+    assert "RLIKE" in evaluated
+
+
+def test_batches_are_searched_by_bytes():
+    import pyarrow as pa
+
+    from palisade.operators.detect import BYTES, ROWS, _parts
+
+    batch = pa.record_batch([pa.array(["x" * (BYTES // 2)] * 5 + ["y" * 3 * BYTES, None] + ["z"] * 1200)], names=["text"])
+    parts = list(_parts(batch, batch.column(0)))
+    assert pa.Table.from_batches(parts).equals(pa.Table.from_batches([batch])) and len(parts) >= 6
+    assert all(p.num_rows <= ROWS and (p.num_rows == 1 or p.nbytes < 2 * BYTES) for p in parts)
